@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,3 +34,20 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 def n_shuffle(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give Python workers this package, once for each application: the driver's file server hands it out, so it need not be installed there."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="tidemark-code-")) / "tidemark_llm.zip"
+    with zipfile.ZipFile(archive, "w") as file:
+        for source in (package / "__init__.py", *sorted((package / "llm").glob("*.py"))):
+            file.write(source, f"tidemark/{source.relative_to(package)}")
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
