@@ -12,6 +12,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.scratch import ship
+from tidemark.llm.scratch import ship, small_batches
 from tidemark.llm.text import whole
 
 #: Unicode's white space, as the tokenizer's pattern means it.
@@ -28,7 +29,7 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The byte-level split: contractions, then letters, numbers and other marks with a space before them, then white space.
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Words whose ids a worker remembers; beyond that it forgets them all.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -70,9 +71,7 @@ class Bpe:
 
     def learn(self, words: list[str]) -> None:
         """Encode distinct words together and remember them."""
-        ids: list[int] = []
-        after: list[int] = []
-        before: list[int] = []
+        ids, after, before = array("i"), array("i"), array("i")
         starts: list[int] = []
         for word in words:
             at = len(ids)
@@ -163,7 +162,7 @@ def _loaded(definition) -> Bpe:
 
 
 #: Characters that a batch of texts is cut at, so a worker holds the words of few texts at once.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 500_000
 
 
 def _batches(texts: list[str]) -> Iterator[list[str]]:
@@ -186,6 +185,7 @@ class Tokenizer:
             definition = file.read()
         Bpe(definition)
         ship(spark)
+        small_batches(spark)
         shared = spark.sparkContext.broadcast(definition)
 
         @F.pandas_udf("binary")

@@ -51,3 +51,14 @@ def ship(spark: SparkSession) -> None:
             file.write(source, f"tidemark/{source.relative_to(package)}")
     context.addPyFile(str(archive))
     _SHIPPED.add(context.applicationId)
+
+
+#: Rows of an Arrow batch: documents may be long, and a worker holds a batch several times over.
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS rows where they are larger."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
