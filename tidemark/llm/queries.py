@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, minhash, mixing, quality, sharding, simhash, url_filter
+from tidemark.llm import bpe, exact_dedup, lm, minhash, mixing, quality, sharding, simhash, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.account(_table(spark, sf_dir, "documents"))
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.account(_table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -63,7 +67,7 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op3_quality, op4_minhash, op5_simhash, op6_exact_dedup, op7_sharding, op9_bpe, op10_url_filter)}
+    return {f.__name__: f for f in (op1_mixing, op3_quality, op4_minhash, op5_simhash, op6_exact_dedup, op7_sharding, op8_lm, op9_bpe, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
