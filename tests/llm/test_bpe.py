@@ -35,7 +35,7 @@ def test_same_ids_on_any_text(text):
 
 def test_bytes_that_are_no_text_decode_to_replacement():
     first = OWN.encode(["é"])[0]
-    half = OWN.of_byte[0xC3].to_bytes(4, "little")
+    half = int(OWN.of_byte[0xC3]).to_bytes(4, "little")
     assert OWN.decode(first + half) == "é\ufffd"
 
 

@@ -28,8 +28,10 @@ from tidemark.llm.text import whole
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The byte-level split: contractions, then letters, numbers and other marks with a space before them, then white space.
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+#: Occurrences from which a rank is merged by array operations.
+MANY = 16
 #: Words whose ids a worker remembers; beyond that it forgets them all.
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -51,15 +53,23 @@ class Bpe:
             raise ValueError("only the byte-level split without a prefix space is supported")
         letters = byte_letters()
         vocab = model["vocab"]
-        self.of_byte = [0] * 256
+        self.of_byte = np.zeros(256, np.int32)
         for letter, byte in letters.items():
             self.of_byte[byte] = vocab[letter]
-        self.ranks: dict[tuple[int, int], int] = {}
+        self.ranks: dict[int, int] = {}  # by left << 32 | right
         self.made: list[tuple[int, int, int]] = []
         for merge in model["merges"]:
             left, right = merge.split(" ") if isinstance(merge, str) else merge
-            self.ranks.setdefault((vocab[left], vocab[right]), len(self.made))
+            self.ranks.setdefault(vocab[left] << 32 | vocab[right], len(self.made))
             self.made.append((vocab[left], vocab[right], vocab[left + right]))
+        self.pairs = np.array(sorted(self.ranks), np.int64)
+        self.pair_ranks = np.array([self.ranks[p] for p in self.pairs.tolist()], np.int64)
+        used: dict[int, int] = {}
+        for rank, (left, right, _) in enumerate(self.made):
+            used.setdefault(left, rank)
+            used.setdefault(right, rank)
+        #: Whether what a rank makes is part of no pair of a lower rank, so all its occurrences can be merged at once.
+        self.settled = [used.get(new, rank + 1) > rank for rank, (_, _, new) in enumerate(self.made)]
         added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes_of = {i: bytes(letters[c] for c in t) for t, i in vocab.items() if t not in added} | {i: t.encode() for t, i in added.items()}
         self.added = {t: np.array([i], "<u4").tobytes() for t, i in added.items()}
@@ -69,30 +79,72 @@ class Bpe:
         self.find = regex.compile(SPLIT).findall
         self.known: dict[str, bytes] = {}
 
-    def learn(self, words: list[str]) -> None:
-        """Encode distinct words together and remember them."""
-        ids, after, before = array("i"), array("i"), array("i")
-        starts: list[int] = []
-        for word in words:
-            at = len(ids)
-            starts.append(at)
-            ids.extend(self.of_byte[b] for b in word.encode("utf-8", "replace"))
-            after.extend(range(at + 1, len(ids) + 1))
-            before.extend(range(at - 1, len(ids) - 1))
-            after[-1], before[at] = -1, -1
+    def _ranks_at(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Each pair's rank; -1 where no merge joins it."""
+        wanted = left.astype(np.int64) << 32 | right
+        at = np.minimum(np.searchsorted(self.pairs, wanted), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == wanted, self.pair_ranks[at], -1)
+
+    def _occurrences(self, ids: array, after: array) -> dict[int, list[int]]:
+        """The index: each merge rank's positions, ascending."""
         index: dict[int, list[int]] = defaultdict(list)
-        rank_of = self.ranks.get
-        for at, then in enumerate(after):
-            if then >= 0 and (rank := rank_of((ids[at], ids[then]))) is not None:
-                index[rank].append(at)
+        if len(ids) and len(self.pairs):
+            ids_view, after_view = np.frombuffer(ids, np.int32), np.frombuffer(after, np.int32)
+            at = np.flatnonzero(after_view >= 0)
+            ranks = self._ranks_at(ids_view[at], ids_view[after_view[at]])
+            order = np.argsort(ranks, kind="stable")
+            at, ranks = at[order], ranks[order]
+            cuts = np.flatnonzero(np.diff(ranks)) + 1
+            for start, places in zip([0, *cuts.tolist()] if len(at) else [], np.split(at, cuts), strict=False):
+                if ranks[start] >= 0:
+                    index[int(ranks[start])] = places.tolist()
+        return index
+
+    def _merge_all(self, places: np.ndarray, rank: int, ids: np.ndarray, after: np.ndarray, before: np.ndarray, enter) -> None:
+        """Merge every standing occurrence of a pair of two different symbols at once and enter the pairs that this makes."""
+        left, right, new = self.made[rank]
+        then = after[places]
+        places = places[(ids[places] == left) & (then >= 0) & (ids[then] == right)]
+        then = after[places]
+        following = after[then]
+        ids[places], ids[then], after[places] = new, -1, following
+        linked = following >= 0
+        before[following[linked]] = places[linked]
+        for at in (places[linked], before[places][before[places] >= 0]):
+            ranks = self._ranks_at(ids[at], ids[after[at]])
+            for r, p in zip(ranks[ranks >= 0].tolist(), at[ranks >= 0].tolist(), strict=True):
+                enter(r, p)
+
+    def learn(self, words: list[str]) -> None:
+        """Encode distinct words, none empty, together and remember them."""
+        encoded = [word.encode("utf-8", "replace") for word in words]
+        ends = np.cumsum([len(x) for x in encoded])
+        symbols = self.of_byte[np.frombuffer(b"".join(encoded), np.uint8)]
+        step = np.arange(len(symbols), dtype=np.int32)
+        links = step + 1, step - 1
+        links[0][ends - 1] = links[1][np.append(0, ends[:-1])] = -1
+        # Arrays whose elements Python reads fast; numpy sees the same memory.
+        ids, after, before = (array("i", x.tobytes()) for x in (symbols, *links))
+        index = self._occurrences(ids, after)
+        ids_view, after_view, before_view = (np.frombuffer(x, np.int32) for x in (ids, after, before))
         active = list(index)
         heapq.heapify(active)
+
+        def enter(rank: int, at: int) -> None:
+            if rank not in index:
+                heapq.heappush(active, rank)
+            index[rank].append(at)
+
+        rank_of = self.ranks.get
         while active:
             rank = heapq.heappop(active)
             places = index.pop(rank, None)
             if places is None:
                 continue
             left, right, new = self.made[rank]
+            if len(places) > MANY and self.settled[rank] and left != right:
+                self._merge_all(np.array(places, np.int32), rank, ids_view, after_view, before_view, enter)
+                continue
             places.sort()
             for n, at in enumerate(places):
                 if ids[at] != left or (then := after[at]) < 0 or ids[then] != right:
@@ -102,28 +154,23 @@ class Bpe:
                 lowest = rank
                 if following >= 0:
                     before[following] = at
-                    if (r := rank_of((new, ids[following]))) is not None:
-                        if r not in index:
-                            heapq.heappush(active, r)
-                        index[r].append(at)
+                    if (r := rank_of(new << 32 | ids[following])) is not None:
+                        enter(r, at)
                         lowest = min(lowest, r)
-                if (prior := before[at]) >= 0 and (r := rank_of((ids[prior], new))) is not None:
-                    if r not in index:
-                        heapq.heappush(active, r)
-                    index[r].append(prior)
+                if (prior := before[at]) >= 0 and (r := rank_of(ids[prior] << 32 | new)) is not None:
+                    enter(r, prior)
                     lowest = min(lowest, r)
                 if lowest < rank:  # a lower rank became active: it comes before the rest of this one
-                    index[rank].extend(places[n + 1 :])
-                    heapq.heappush(active, rank)
+                    for rest in places[n + 1 :]:
+                        enter(rank, rest)
                     break
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        for word, at in zip(words, starts, strict=True):
-            out = []
-            while at >= 0:
-                out.append(ids[at])
-                at = after[at]
-            self.known[word] = np.array(out, "<u4").tobytes()
+        standing = ids_view >= 0
+        packed = ids_view[standing].astype("<u4").tobytes()
+        until = (np.cumsum(standing)[ends - 1] * 4).tolist()
+        start = 0
+        for word, end in zip(words, until, strict=True):
+            self.known[word] = packed[start:end]
+            start = end
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, packed; strings of added tokens become those tokens."""
@@ -162,7 +209,7 @@ def _loaded(definition) -> Bpe:
 
 
 #: Characters that a batch of texts is cut at, so a worker holds the words of few texts at once.
-BATCH_CHARS = 500_000
+BATCH_CHARS = 2_000_000
 
 
 def _batches(texts: list[str]) -> Iterator[list[str]]:

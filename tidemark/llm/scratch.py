@@ -54,7 +54,7 @@ def ship(spark: SparkSession) -> None:
 
 
 #: Rows of an Arrow batch: documents may be long, and a worker holds a batch several times over.
-BATCH_ROWS = 500
+BATCH_ROWS = 1000
 
 
 def small_batches(spark: SparkSession) -> None:
