@@ -160,8 +160,12 @@ def mix(docs: DataFrame, weights=(5, 2, 1), repeats: float = 3.0, block_tokens:
     inner = inner.withColumn("__nth", F.row_number().over(Window.partitionBy(*same).orderBy("__id")))
     joined = inner.alias("a").join(plan.alias("b"), F.col("a.__id").eqNullSafe(F.col("b.__id")) & F.col("a.__source").eqNullSafe(F.col("b.__source")) & (F.col("a.__size") == F.col("b.__size")) & (F.col("a.__nth") == F.col("b.__nth")))
     parts = F.regexp_extract_all(whole(F.col(f"__row.{text_col}")), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+(?:[\x20\x09-\x0D]+\z)?"), F.lit(0))
-    cut = joined.select("__row", parts.alias("__parts"), F.explode("__pieces").alias("__piece"))
-    text = F.array_join(F.slice("__parts", (F.col("__piece.skip") + 1).cast("int"), F.col("__piece.words").cast("int")), "")
-    out = cut.select("__row", text.alias("__text"), F.col("__piece.words").alias("mix_words"), F.explode("__piece.shards").alias("mix_shard"))
+    # The words are bound to a lambda's variable, so they are split once for each document and not for each piece.
+    def cut(words: Column, piece: Column) -> Column:
+        text = F.array_join(F.slice(words, (piece["skip"] + 1).cast("int"), piece["words"].cast("int")), "")
+        return F.struct(text.alias("text"), piece["words"].alias("words"), piece["shards"].alias("shards"))
+
+    pieces = F.transform(F.array(parts), lambda words: F.transform("__pieces", lambda piece: cut(words, piece)))[0]
+    out = joined.select("__row", F.explode(pieces).alias("__piece")).select("__row", F.col("__piece.text").alias("__text"), F.col("__piece.words").alias("mix_words"), F.explode("__piece.shards").alias("mix_shard"))
     columns = [F.col("__text").alias(c) if c == text_col else F.col(f"__row.{c}").alias(c) for c in docs.columns if c not in ("mix_shard", "mix_words")]
     return out.select(*columns, "mix_shard", "mix_words")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, lm, minhash, mixing, quality, sharding, simhash, url_filter
+from tidemark.llm import bpe, exact_dedup, html_text, lm, minhash, mixing, quality, sharding, simhash, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.account(_table(spark, sf_dir, "documents"))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.account(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -67,7 +71,7 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op3_quality, op4_minhash, op5_simhash, op6_exact_dedup, op7_sharding, op8_lm, op9_bpe, op10_url_filter)}
+    return {f.__name__: f for f in (op1_mixing, op2_html, op3_quality, op4_minhash, op5_simhash, op6_exact_dedup, op7_sharding, op8_lm, op9_bpe, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
