@@ -62,6 +62,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _signed(mask: int) -> int:
+    mask &= (1 << 64) - 1
     return mask - (1 << 64) if mask >> 63 else mask
 
 
