@@ -1,0 +1 @@
+"""Query plans: the operators applied to the driver's tables."""

@@ -28,11 +28,17 @@ def register(name: str, sql: str | None = None):
     return file
 
 
+def _load() -> None:
+    from tidemark.plans import score_queries  # noqa: F401  they register themselves
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_ORACLES)
 
 
