@@ -7,16 +7,16 @@ pseudorandom sequence of bins that is the same for all documents (optimal
 densification, Shrivastava 2017). ``BANDS`` bands of ``ROWS`` bins are bucket
 keys. In a bucket, each member is only paired with a hub, so pairs grow with
 members; every pair is confirmed on the full sets. Further rounds look at
-buckets that still hold more than one component, first with other hubs, then
-with all pairs that are left, large buckets being cut by a second band first,
-so a link that no hub shows is found too.
+buckets that still hold more than one component: first with other hubs, then
+with an exact prefix join of those buckets' documents across components, so a
+link that no hub shows is found too.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
@@ -29,9 +29,7 @@ BINS = 1 << BINS_LOG
 BANDS = BINS // ROWS
 #: Bins that an empty bin tries; a bin that finds none takes the next full one in order.
 TRIES = 2048
-#: Members of a bucket of which all pairs of different components are compared; larger buckets are cut by a second and third band first.
-CROWD, CUTS = 48, 2
-#: Rounds with other hubs before all pairs are compared.
+#: Rounds with other hubs before the exact join of what is left.
 HUB_ROUNDS = 1
 #: Distinct words whose hashes a worker remembers.
 REMEMBERED = 300_000
@@ -193,24 +191,30 @@ def _hubs(opened: DataFrame, turn: int) -> DataFrame:
     return opened.join(hubs, "key").where("component <> hub.component").select(F.col("id").alias("x"), F.col("hub.id").alias("y"))
 
 
-def _all_left(opened: DataFrame, keys: DataFrame) -> DataFrame:
-    """All pairs of different components of one bucket; crowded buckets are cut by further bands, which similar documents share in part."""
-    out, rows = None, opened.select("key", "id", "component")
-    for cut in range(CUTS + 1):
-        rows = materialize(rows, "crowds")
-        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-        small = rows.join(sizes.where(F.lit(True) if cut == CUTS else F.col("n") <= CROWD).select("key"), "key")
-        pairs = small.alias("l").join(small.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.id") < F.col("r.id")) & (F.col("l.component") != F.col("r.component"))).select(F.col("l.id").alias("x"), F.col("r.id").alias("y"))
-        out = pairs if out is None else out.unionByName(pairs)
-        if cut == CUTS:
-            break
-        large = rows.join(sizes.where(F.col("n") > CROWD).select("key"), "key")
-        if large.isEmpty():
-            break
-        cutter = F.explode("bands").alias("other")
-        finer = large.join(keys, "id").select("key", "id", "component", cutter).where("key <> other").select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other"), F.lit(cut)).alias("key"), "id", "component").distinct()
-        rows = finer
-    return out
+def _by_prefix(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs of the given documents that are of different components and can be similar enough.
+
+    The exact filter of PPJoin (Xiao et al., 2008): with every set in one order
+    of its members, rare ones first, similar sets share a member in their first
+    few, and where they first meet bounds what they can share in all. Documents
+    that differ from each other by rare members of their own, as the edited
+    copies of one text do, meet nowhere, so no crowd's pairs are compared.
+    """
+    alone = opened.select("id", "component").distinct()
+    listed = alone.join(sets.dropDuplicates(["id"]), "id").select("id", "component", F.size("members").alias("n"), F.explode("members").alias("member"))
+    listed = materialize(listed, "listed")
+    counts = listed.groupBy("member").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # A member of one document only meets nothing; it still takes its place in the order, before all others.
+    placed = listed.join(counts, "member", "left").withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("df", F.lit(1)), "member")))
+    n = F.col("n")
+    probe, index = n - F.ceil(n * percent / 100) + 1, n - F.ceil(n * (2 * percent) / (100 + percent)) + 1
+    first = materialize(placed.where(F.col("df").isNotNull() & (F.col("at") <= probe)).withColumn("indexed", F.col("at") <= index).drop("df"), "prefixes")
+    x, y = first.alias("x"), first.where("indexed").alias("y")
+    order = (F.col("y.n") < F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("y.id") < F.col("x.id")))
+    needed = F.ceil((F.col("x.n") + F.col("y.n")) * percent / (100 + percent))
+    reach = 1 + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= needed
+    met = (F.col("x.member") == F.col("y.member")) & order & (F.col("y.n") * 100 >= F.col("x.n") * percent) & (F.col("x.component") != F.col("y.component")) & reach
+    return x.join(y, met).select(F.col("x.id").alias("x"), F.col("y.id").alias("y"))
 
 
 def classes(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -244,7 +248,7 @@ def classes(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col:
         opened = materialize(_open(buckets.select("key", "id"), found), "open")
         if opened.isEmpty():
             break
-        pairs = _hubs(opened, turn) if turn <= HUB_ROUNDS else _all_left(opened, keys)
+        pairs = _hubs(opened, turn) if turn <= HUB_ROUNDS else _by_prefix(opened, sets, percent)
         fresh = materialize(_untried(pairs, tried), "pairs")
         more = materialize(_confirmed(fresh, sets, percent), "links")
         tried = tried.unionByName(fresh)
