@@ -213,6 +213,6 @@ def file_cohesion(spark, sf_dir):
     return A.cohesion(calls, nodes, 3).select("file", "internal", "external", F.round("score", 6).alias("score"))
 
 
-@register("repeated_strings", """WITH l AS (SELECT doc_id, unnest(regexp_extract_all(text, '"([^"]{20,})"', 1)) AS literal FROM documents) SELECT doc_id, literal, count(*) AS times FROM l GROUP BY ALL HAVING count(*) > 2""")
+@register("repeated_strings", """WITH l AS (SELECT doc_id, unnest(regexp_extract_all(text, '"([^"]{20,})"', 1)) AS literal FROM documents) SELECT doc_id, literal, count(*) AS times FROM l GROUP BY ALL""")
 def repeated_strings(spark, sf_dir):
-    return A.repeated_strings(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return A.repeated_strings(table(spark, sf_dir, "documents"), "doc_id", "text", more_than=0)
