@@ -160,3 +160,30 @@ def test_detectors(spark):
     assert [r.path for r in functions.where("error is not null").collect()] == ["b.py"]
     assert {("a.py", 3, "long_parameter_list"), ("a.py", 3, "error_swallowing"), ("a.py", 9, "no_assertion")} <= set(rows(D.metric_findings(functions).select("path", "line", "kind")))
     assert [D.test_kind(n, p, "") for n, p in (("test_a", "src/a.py"), ("test_b", "tests/b.py"), ("bench_c", "c"), ("prop_d", "d"), ("e", "e"))] == ["unit", "integration", "benchmark", "property", None]
+
+
+def test_demangled_names(spark):
+    from tidemark.functions.demangle import demangled, readable
+
+    names = {"_ZN3foo3bar17h0123456789abcdefE": "foo::bar", "_ZN4core3fmt9Formatter3fooE": "core::fmt::Formatter::foo", "plain": "plain", "_ZN3fo": "_ZN3fo", "_ZN16_$LT$T$u20$as$GT$1fE": "_ZN16_$LT$T$u20$as$GT$1fE", "_ZN13Vec$LT$T$GT$x1fE": "Vec<T>x::f"}
+    assert {n: readable(n) for n in names} == names
+    assert readable(None) is None
+    df = spark.createDataFrame([(n,) for n in names], "s string")
+    assert [r[0] for r in df.select(demangled(F.col("s"))).collect()] == list(names.values())
+
+
+def test_extension_points(spark):
+    from tidemark.operators import context as X
+
+    registry = X.Registry()
+    with pytest.raises(ValueError):
+        registry.contributions(spark.range(1))
+    registry.register("b", lambda t: t.select("target", F.lit(1.0).alias("contribution")), 5.0)
+    with pytest.raises(ValueError):
+        registry.register("b", lambda t: t)
+    base = spark.createDataFrame([(1, 2.0)], "target long, base double")
+    assert X.contextual_risk(registry.contributions(base), base).first().risk == 6.0
+    out = X.pipeline(spark.range(5), [("drop", True, lambda d: d.where("id > 1")), ("skipped", False, lambda d: d.where("false"))])
+    assert out.count() == 3
+    with pytest.raises(ValueError, match="one; three"):
+        X.all_errors([("one", False), ("two", True), ("three", False)])
