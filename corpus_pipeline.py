@@ -36,8 +36,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each piece's packed ids and the text that they decode to."""
-    tokenizer = bpe.Tokenizer(spark, tokenizer_path())
-    coded = tokenizer.decode(tokenizer.encode(docs))
+    coded = bpe.Tokenizer(spark, tokenizer_path()).round_trip(docs)
     return coded.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded")
 
 

@@ -45,3 +45,12 @@ def test_account(spark):
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert sorted((r.doc_id or 0, r.n_tokens) for r in out.collect()) == [(0, len(ids_of("x " * 3000))), (1, 2), (2, 0), (3, 0), (3, 0)]
     assert bpe.account(spark.createDataFrame([], "doc_id long, text string"), tokenizer_path()).count() == 0
+
+
+def test_round_trip_is_encode_then_decode(spark):
+    tokenizer = bpe.Tokenizer(spark, tokenizer_path())
+    docs = spark.createDataFrame([(1, "Hello  world é", "x"), (2, None, "y"), (3, "a<|endoftext|>b", "z")], "doc_id long, text string, ids string")
+    one = tokenizer.round_trip(docs).orderBy("doc_id").collect()
+    two = tokenizer.decode(tokenizer.encode(docs)).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.ids, r.decoded) for r in one] == [(r.doc_id, r.ids, r.decoded) for r in two]
+    assert [r.decoded for r in one] == ["Hello  world é", "", "a<|endoftext|>b"]

@@ -31,7 +31,7 @@ SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N
 #: Occurrences from which a rank is merged by array operations.
 MANY = 16
 #: Words whose ids a worker remembers; beyond that it forgets them all.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -245,7 +245,13 @@ class Tokenizer:
             bpe = _loaded(shared)
             return pd.Series([bpe.decode(x) for x in ids], dtype=object)
 
-        self._encode, self._decode = encode, decode
+        @F.pandas_udf("ids binary, decoded string")
+        def both(text: pd.Series) -> pd.DataFrame:
+            bpe = _loaded(shared)
+            ids = [x for batch in _batches(text.tolist()) for x in bpe.encode(batch)]
+            return pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series([bpe.decode(x) for x in ids], dtype=object)})
+
+        self._encode, self._decode, self._both = encode, decode, both
 
     def encode(self, docs: DataFrame, text_col: str = "text", to: str = "ids") -> DataFrame:
         """``docs`` with the column ``to``: packed ids of the whole text (null: empty). A column of that name is replaced; all others and all rows stay."""
@@ -255,9 +261,13 @@ class Tokenizer:
         """``docs`` with the column ``to``: the text of the packed ids (null: empty)."""
         return docs.withColumn(to, self._decode(F.coalesce(F.col(ids_col), F.lit(b""))))
 
+    def round_trip(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
+        """``docs`` with ids and decoded, as encode() and then decode() give them, in one pass through one worker."""
+        own = [c for c in docs.columns if c.lower() not in ("ids", "decoded", "__tidemark_coded")]
+        return docs.select(*own, self._both(whole(F.col(text_col))).alias("__tidemark_coded")).select(*own, "__tidemark_coded.ids", "__tidemark_coded.decoded")
+
 
 def account(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_tokens, ids_sha256, decoded_sha256) for every row: digests of its ids and of the text that they decode to."""
-    tokenizer = Tokenizer(docs.sparkSession, path)
-    coded = tokenizer.decode(tokenizer.encode(docs.select(F.col(id_col), F.col(text_col).alias("text"))))
+    coded = Tokenizer(docs.sparkSession, path).round_trip(docs.select(F.col(id_col), F.col(text_col).alias("text")))
     return coded.select(id_col, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))

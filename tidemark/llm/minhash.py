@@ -32,7 +32,7 @@ TRIES = 2048
 #: Rounds with other hubs before the exact join of what is left.
 HUB_ROUNDS = 1
 #: Distinct words whose hashes a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 _A, _B = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -272,9 +272,9 @@ def _repeated(rows: DataFrame, firsts: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame, percent: int = 80, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, all columns unchanged: of each component the row with the smallest id.
 
-    Documents without words all stay. Rows with a null id stay unless another
-    row has their set. Rows that share a kept id stay together.
+    Documents without words all stay, and so do rows with a null id, which
+    nothing tells apart. Rows that share a kept id stay together.
     """
     found = classes(docs, percent, words, id_col, text_col)
-    dropped = found.where("not kept").select(F.col(id_col).alias("__tidemark_id")).distinct()
-    return docs.join(dropped, F.col(id_col).eqNullSafe(F.col("__tidemark_id")), "left_anti")
+    dropped = found.where(~F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__tidemark_id")).distinct()
+    return docs.join(dropped, F.col(id_col) == F.col("__tidemark_id"), "left_anti")
