@@ -88,7 +88,9 @@ def within_radius(queries: DataFrame, table: DataFrame, radius: int = RADIUS, bl
     while masks:
         rows = materialize(rows.withColumn("key", F.col("fingerprint").bitwiseAND(F.col("mask"))), "blocks")
         sizes = rows.groupBy("mask", "key").agg(F.count_if("asks").alias("n"), F.count_if(~F.col("asks")).alias("m")).where("n > 0 and m > 0")
-        sizes = materialize(sizes.withColumn("large", F.col("n") * F.col("m") > PAIRS), "sizes")
+        # With no more free bits than the radius, a group has few fingerprints and needs no cut.
+        cuttable = F.bit_count("mask") < BITS - radius
+        sizes = materialize(sizes.withColumn("large", (F.col("n") * F.col("m") > PAIRS) & cuttable), "sizes")
         fit = rows.join(sizes.where("not large").select("mask", "key"), ["mask", "key"], "left_semi")
         pairs = fit.where("asks").select("mask", "key", F.col("fingerprint").alias("query")).join(fit.where("not asks").select("mask", "key", "fingerprint"), ["mask", "key"])
         pairs = pairs.withColumn("distance", F.bit_count(F.col("query").bitwiseXOR(F.col("fingerprint")))).where(f"distance between 1 and {radius}").select("query", "fingerprint", "distance")
@@ -98,7 +100,7 @@ def within_radius(queries: DataFrame, table: DataFrame, radius: int = RADIUS, bl
         finer = []
         for m in masks:
             free = [b for b in range(BITS) if not m >> b & 1]
-            finer += [(_signed(m), _signed(m | sum(1 << b for b in block))) for block in _cut(free, radius + 1) if block]
+            finer += [(_signed(m), _signed(m | sum(1 << b for b in block))) for block in _cut(free, radius + 1) if len(free) > radius]
         masks = {b for _, b in finer}
         if finer:
             rows = rows.join(sizes.where("large").select("mask", "key"), ["mask", "key"], "left_semi").drop("key").join(F.broadcast(spark.createDataFrame(finer, "mask long, finer long")), "mask").select("fingerprint", "asks", F.col("finer").alias("mask")).distinct()
