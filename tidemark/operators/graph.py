@@ -7,28 +7,15 @@ costs one step. Loops end at a fixed bound or when nothing changes.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _shared(spark: SparkSession) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tidemark.graph.dir", None)
-    if not named:
-        local = spark.sparkContext.master.startswith("local[")
-        named = tempfile.mkdtemp(prefix="tidemark-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/_tidemark"
-        spark.conf.set("tidemark.graph.dir", named)
-    return named.rstrip("/")
+from tidemark.scratch import materialize
 
 
 def step(df: DataFrame) -> DataFrame:
     """Write one step of a loop to the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{_shared(spark)}/{spark.sparkContext.applicationId}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return materialize(df, "graph")
 
 
 def closure(edges: DataFrame, depth: int, inclusive: bool = True) -> DataFrame:

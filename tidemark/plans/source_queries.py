@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from tidemark.operators import detectors as D
-from tidemark.operators.graph import _shared
 from tidemark.plans.registry import register, table
+from tidemark.scratch import shared_dir
 from tidemark.sources import lcov
 from tidemark.streaming import history
 
@@ -16,7 +16,7 @@ c = F.col
 
 
 def _folder(spark, label: str) -> str:
-    return f"{_shared(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 LCOV_ROWS = "SELECT l_partkey AS file, l_orderkey % 4 AS fn, l_linenumber AS line, CAST(max(CASE WHEN l_quantity > 25 THEN 3 ELSE 0 END) AS BIGINT) AS hits FROM lineitem WHERE l_partkey <= 100 GROUP BY ALL"
