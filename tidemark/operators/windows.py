@@ -43,7 +43,7 @@ def merged_blocks(blocks: DataFrame, file: str, line: str, n: int) -> DataFrame:
     """(file, first, last): blocks of ``n`` lines, those that start exactly where another ends joined with it."""
     chains = blocks.select(file, line).distinct().withColumn("__rest", F.col(line) % n)
     order = Window.partitionBy(file, "__rest").orderBy(line)
-    islands = chains.withColumn("__island", F.col(line) / n - F.row_number().over(order))
+    islands = chains.withColumn("__island", F.floor(F.col(line) / n) - F.row_number().over(order))
     return islands.groupBy(file, "__rest", "__island").agg(F.min(line).alias("first"), (F.max(line) + n - 1).alias("last")).select(file, "first", "last")
 
 
