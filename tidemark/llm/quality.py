@@ -21,7 +21,7 @@ from tidemark.llm.text import whole
 
 PASSAGE = 1024
 #: Labelled documents of each class that the classifier is fitted on, at most.
-PER_CLASS = 1500
+PER_CLASS = 1000
 KINDS = 12
 #: Pairs of neighbouring characters' kinds, share of distinct words, mean word length, passage length.
 WIDTH = KINDS * KINDS + 3
@@ -112,13 +112,13 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, seed: int = 5) -> Attention:
     """Adam on the cross entropy of document labels, classes weighing the same; without both classes the model scores every document 0.5."""
     rng = np.random.default_rng(seed)
     rows = np.concatenate(bags) if bags else np.zeros((1, WIDTH))
-    mean, scale = rows.mean(axis=0), rows.std(axis=0) + 0.02
+    mean, scale = rows.mean(axis=0, dtype=float), rows.std(axis=0, dtype=float) + 0.02
     shapes = {"embed": (WIDTH, HIDDEN), "shift": (HIDDEN,), "tanh": (HIDDEN, GATES), "gate": (HIDDEN, GATES), "mix": (GATES,), "out": (HIDDEN,)}
     model = Attention(mean, scale, **{k: rng.normal(0, (2 / sum(s)) ** 0.5, s) for k, s in shapes.items()}, bias=0.0)
     if len(set(labels.tolist())) < 2:
         model.out[:] = 0
         return model
-    x, starts, y = (rows - mean) / scale, np.cumsum([0, *map(len, bags[:-1])]), labels.astype(float)
+    x, starts, y = ((rows - mean) / scale).astype(np.float32), np.cumsum([0, *map(len, bags[:-1])]), labels.astype(float)
     importance = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
     names = [*shapes, "bias"]
     first, second = ({k: np.zeros_like(getattr(model, k)) for k in names} for _ in range(2))
@@ -165,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col
         return pd.Series([encode(t).tobytes() for t in text], dtype=object)
 
     rows = sample.select(id_col, "label", encoded("text").alias("x")).toPandas().sort_values([id_col, "label", "x"])
-    return fit([np.frombuffer(x, np.float32).reshape(-1, WIDTH).astype(float) for x in rows["x"]], rows["label"].to_numpy())
+    return fit([np.frombuffer(x, np.float32).reshape(-1, WIDTH) for x in rows["x"]], rows["label"].to_numpy())
 
 
 def scored(docs: DataFrame, model: Attention, to: str = "score", text_col: str = "text") -> DataFrame:

@@ -1,62 +1,22 @@
-"""Intermediate tables in the folder that the driver and all executors share."""
+"""Settings and sources that Python workers need, and the shared folder's tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
+from tidemark.scratch import materialize
+from tidemark.shipping import ship
 
+__all__ = ["materialize", "n_shuffle", "ship", "small_batches"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where that is unset, a temporary one in local mode and one in the warehouse on a cluster."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
-        named = tempfile.mkdtemp(prefix="tidemark-")
-    else:
-        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tidemark"
-    spark.conf.set("tidemark.shared.dir", named)
-    return named
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends at files that outlive an executor."""
-    spark = df.sparkSession
-    kept = spark.conf.get("tidemark.shared.dir", None) or shared_dir(spark)
-    path = f"{kept}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Rows of an Arrow batch: documents may be long, and a worker holds a batch several times over.
+BATCH_ROWS = 1000
 
 
 def n_shuffle(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Give Python workers this package, once for each application: the driver's file server hands it out, so it need not be installed there."""
-    context = spark.sparkContext
-    if context.applicationId in _SHIPPED:
-        return
-    package = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp(prefix="tidemark-code-")) / "tidemark_llm.zip"
-    with zipfile.ZipFile(archive, "w") as file:
-        for source in (package / "__init__.py", *sorted((package / "llm").glob("*.py"))):
-            file.write(source, f"tidemark/{source.relative_to(package)}")
-    context.addPyFile(str(archive))
-    _SHIPPED.add(context.applicationId)
-
-
-#: Rows of an Arrow batch: documents may be long, and a worker holds a batch several times over.
-BATCH_ROWS = 1000
-
-
 def small_batches(spark: SparkSession) -> None:
     """Lower the session's Arrow batches to BATCH_ROWS rows where they are larger."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
