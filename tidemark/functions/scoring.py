@@ -48,12 +48,14 @@ DATA_FLOW_WEIGHTS = {"purity": 0.4, "refactorability": 0.3, "pattern": 0.3}
 
 
 def lookup(key: Column, table: dict, default) -> Column:
-    """The table's value for ``key``, else the default: keys of one value share a branch."""
-    out = None
-    for value in dict.fromkeys(table.values()):
-        hit = key.isin(*(k for k, v in table.items() if v == value))
-        out = F.when(hit, F.lit(value)) if out is None else out.when(hit, F.lit(value))
-    return out.otherwise(F.lit(default))
+    """The table's value for ``key``, else the default.
+
+    A map literal, not a CASE: generated methods stay small enough to be compiled.
+    """
+    if not table:
+        return F.lit(default)
+    entries = F.create_map(*(F.lit(x) for pair in table.items() for x in pair))
+    return F.coalesce(F.try_element_at(entries, key), F.lit(default))
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
@@ -301,16 +303,20 @@ def file_score(factors: dict[str, Column]) -> Column:
     return out
 
 
-def god_object_score(methods: Column, fields: Column, responsibilities: Column, lines: Column, mean_complexity: Column | None = None) -> Column:
-    """Product of the four sizes' ratios to their limits, each 3 at most; violations raise it and give it a floor.
-
-    With ``mean_complexity``, methods are weighted and simple or complex ones change the score.
-    """
+def god_object_sizes(methods: Column, fields: Column, responsibilities: Column, lines: Column) -> tuple[Column, Column]:
+    """(product, violations): the four sizes' ratios to their limits, each 3 at most, multiplied; and how many sizes pass their limit."""
     sizes = {"methods": methods, "fields": fields, "responsibilities": responsibilities, "lines": lines}
     product = F.lit(1.0)
     for name, size in sizes.items():
         product = product * F.least(size / (3.0 if name == "responsibilities" else float(GOD_LIMITS[name])), F.lit(3.0))
-    violations = sum((F.when(size > GOD_LIMITS[name], 1).otherwise(0) for name, size in sizes.items()), F.lit(0))
+    return product, sum((F.when(size > GOD_LIMITS[name], 1).otherwise(0) for name, size in sizes.items()), F.lit(0))
+
+
+def god_object_score(product: Column, violations: Column, mean_complexity: Column | None = None) -> Column:
+    """From god_object_sizes(): violations raise the score and give it a floor.
+
+    With ``mean_complexity``, methods are weighted and simple or complex ones change the score.
+    """
     ease = F.lit(1.0) if mean_complexity is None else F.when(mean_complexity < 3, 0.7).when(mean_complexity > 10, 1.5).otherwise(1.0)
     floor = F.when(violations == 1, 30.0).when(violations == 2, 50.0).otherwise(70.0)
     return F.when(violations > 0, F.greatest(product * 20 * ease * violations, floor)).otherwise(product * 10 * ease)

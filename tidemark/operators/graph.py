@@ -2,7 +2,7 @@
 
 Loops run on the driver over DataFrames; each step is written to the folder
 that spark.checkpoint.dir names, so lineage stays short and a lost executor
-costs one step. Loops end at a fixed bound or when nothing changes.
+costs one step. Loops end at a published bound or when nothing changes.
 """
 
 from __future__ import annotations
@@ -36,6 +36,22 @@ def closure(edges: DataFrame, depth: int, inclusive: bool = True) -> DataFrame:
     return reached
 
 
+def distances(edges: DataFrame) -> DataFrame:
+    """(source, target, hops) of everything reached in any number of hops, at its least distance.
+
+    Known stretches are joined end to end, so each step doubles the reach: a
+    chain of n calls takes log2(n) steps, not n.
+    """
+    known = step(edges.select(F.col("a").alias("source"), F.col("b").alias("target"), F.lit(1).alias("hops")).distinct())
+    size = None
+    while (now := known.agg(F.count(F.lit(1)), F.sum("hops")).first()) != size:
+        size = now
+        x, y = known.alias("x"), known.alias("y")
+        longer = x.join(y, F.col("x.target") == F.col("y.source")).select("x.source", "y.target", (F.col("x.hops") + F.col("y.hops")).alias("hops"))
+        known = step(known.unionByName(longer).groupBy("source", "target").agg(F.min("hops").alias("hops")))
+    return known
+
+
 def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
 
@@ -49,50 +65,49 @@ def entry_points(edges: DataFrame) -> DataFrame:
     return nodes_of(edges).join(edges.select(F.col("b").alias("id")), "id", "left_anti")
 
 
-def depth_from(entries: DataFrame, edges: DataFrame, limit: int = 64) -> DataFrame:
+def depth_from(entries: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, depth): least hops from any of ``entries`` (id), which have 0."""
     links = edges.select("a", "b").distinct()
     found = step(entries.select("id", F.lit(0).alias("depth")).distinct())
-    frontier = found
-    for depth in range(1, limit + 1):
+    frontier, depth = found, 0
+    while not frontier.isEmpty():
+        depth += 1
         following = frontier.join(links, F.col("id") == F.col("a")).select(F.col("b").alias("id")).distinct()
         frontier = step(following.join(found, "id", "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
-            break
         found = found.unionByName(frontier)
     return found
 
 
-def blast_radius(edges: DataFrame, depth: int = 64) -> DataFrame:
+def blast_radius(edges: DataFrame) -> DataFrame:
     """(id, radius): how many nodes reach a node, itself included."""
-    reaching = closure(reversed_edges(edges), depth).where("source <> target").groupBy(F.col("source").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    reaching = distances(reversed_edges(edges)).where("source <> target").groupBy(F.col("source").alias("id")).agg(F.count(F.lit(1)).alias("n"))
     return nodes_of(edges).join(reaching, "id", "left").select("id", (F.coalesce("n", F.lit(0)) + 1).alias("radius"))
 
 
-def cyclic(edges: DataFrame, depth: int = 64) -> DataFrame:
+def cyclic(edges: DataFrame) -> DataFrame:
     """(id, in_cycle, reaches_cycle): whether a node is on a cycle, and whether it is on or leads to one."""
-    reach = step(closure(edges, depth))
+    reach = distances(edges)
     on = reach.where("source = target").select(F.col("source").alias("id"))
     leads = reach.join(on.withColumnRenamed("id", "target"), "target", "left_semi").select(F.col("source").alias("id")).distinct()
     every = nodes_of(edges).join(on.distinct().withColumn("c", F.lit(True)), "id", "left").join(leads.withColumn("l", F.lit(True)), "id", "left")
     return every.select("id", F.coalesce("c", F.lit(False)).alias("in_cycle"), F.coalesce("l", F.lit(False)).alias("reaches_cycle"))
 
 
-def strong_components(edges: DataFrame, depth: int = 64) -> DataFrame:
+def strong_components(edges: DataFrame) -> DataFrame:
     """(id, component): nodes that reach each other share the smallest id among them; every node is in one."""
-    reach = step(closure(edges, depth)).select("source", "target")
+    reach = distances(edges).select("source", "target")
     both = reach.join(reach.select(F.col("target").alias("source"), F.col("source").alias("target")), ["source", "target"])
     lowest = both.groupBy(F.col("source").alias("id")).agg(F.min("target").alias("m"))
     return nodes_of(edges).join(lowest, "id", "left").select("id", F.least(F.col("id"), F.coalesce("m", "id")).alias("component"))
 
 
-def levels(edges: DataFrame, limit: int = 256) -> DataFrame:
+def levels(edges: DataFrame) -> DataFrame:
     """(id, level): a topological order by layers of the component graph: 0 for what calls nothing outside its cycle, else one more than its highest callee."""
     owner = step(strong_components(edges))
     between = edges.join(owner.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(owner.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
     links = step(between.where("ca <> cb").select("ca", "cb").distinct())
     known = step(owner.select(F.col("component").alias("c"), F.lit(0).alias("level")).distinct())
-    for _ in range(limit):
+    while True:
         raised = links.join(known.withColumnRenamed("c", "cb"), "cb").groupBy(F.col("ca").alias("c")).agg((F.max("level") + 1).alias("raised"))
         following = step(known.join(raised, "c", "left").select("c", F.greatest("level", F.coalesce("raised", F.lit(0))).alias("level"), (F.coalesce("raised", F.lit(0)) > F.col("level")).alias("moved")))
         known = following.select("c", "level")
@@ -110,11 +125,11 @@ def layering_score(edges: DataFrame) -> DataFrame:
     return counted.select(F.when(total == 0, 1.0).otherwise(F.col("forward") / F.when(total > 0, total)).alias("score"), "forward", "backward")
 
 
-def test_only(nodes: DataFrame, edges: DataFrame, depth: int = 64) -> DataFrame:
+def test_only(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id) reached from tests (``nodes``: id, is_test) and from no entry point that is none, tests themselves left out."""
     tests = nodes.where("is_test").select("id")
     production = entry_points(edges).join(tests, "id", "left_anti")
-    by_test, by_production = depth_from(tests, edges, depth).select("id"), depth_from(production, edges, depth).select("id")
+    by_test, by_production = depth_from(tests, edges).select("id"), depth_from(production, edges).select("id")
     return by_test.join(by_production, "id", "left_anti").join(tests, "id", "left_anti")
 
 
@@ -168,9 +183,9 @@ def propagated_risk(nodes: DataFrame, edges: DataFrame, rounds: int = 10, least:
     return now.select("id", "risk")
 
 
-def betweenness(edges: DataFrame, depth: int = 64) -> DataFrame:
+def betweenness(edges: DataFrame) -> DataFrame:
     """(id, betweenness): share of the ordered pairs of other nodes of which some shortest path passes the node."""
-    d = step(closure(edges, depth).where("source <> target"))
+    d = distances(edges).where("source <> target")
     n = nodes_of(edges).count()
     x, y = d.alias("x"), d.alias("y")
     via = x.join(y, F.col("x.target") == F.col("y.source")).where("x.source <> y.target").select(F.col("x.target").alias("id"), F.col("x.source").alias("source"), F.col("y.target").alias("target"), (F.col("x.hops") + F.col("y.hops")).alias("hops"))
@@ -191,13 +206,13 @@ def clustering(edges: DataFrame, mutual: bool = False) -> DataFrame:
     return nodes_of(edges).join(sizes, "id", "left").join(closed, "id", "left").select("id", F.when(F.col("n") >= 2, F.coalesce("closed", F.lit(0)) / possible).otherwise(0.0).alias("clustering"))
 
 
-def propagated_purity(nodes: DataFrame, edges: DataFrame, rounds: int = 32) -> DataFrame:
+def propagated_purity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, is_pure, confidence): a node stays pure if all it calls is; its confidence falls by a tenth for each level to what it rests on, 0.5 at least; nodes that lead to a cycle keep 0.7 of it.
 
     ``nodes``: id, is_pure, confidence.
     """
     impure = nodes.where("not is_pure").select("id")
-    spoiled = depth_from(impure, reversed_edges(edges), rounds).select("id", F.lit(True).alias("spoiled"))
+    spoiled = depth_from(impure, reversed_edges(edges)).select("id", F.lit(True).alias("spoiled"))
     at, loops = levels(edges), cyclic(edges)
     joined = nodes.join(spoiled, "id", "left").join(at, "id", "left").join(loops.select("id", "reaches_cycle"), "id", "left")
     pure = F.col("is_pure") & F.col("spoiled").isNull()
@@ -243,15 +258,14 @@ def weighted_vote(signals: DataFrame, key: str, category: str = "category") -> D
     return sums.groupBy(key).agg(F.max_by(category, F.struct("score", category)).alias(category), F.max("score").alias("score"))
 
 
-def reaching_definitions(blocks: DataFrame, flow: DataFrame, limit: int = 64) -> DataFrame:
+def reaching_definitions(blocks: DataFrame, flow: DataFrame) -> DataFrame:
     """(block, variable, definition) that reach a block's start: what leaves a block before it, its own definitions in place of older ones.
 
     ``blocks``: block, variable, definition (its last one); ``flow``: a, b.
     """
     out = step(blocks.select("block", "variable", "definition"))
     kills = blocks.select("block", "variable").distinct()
-    while limit:
-        limit -= 1
+    while True:
         into = flow.join(out.withColumnRenamed("block", "a"), "a").select(F.col("b").alias("block"), "variable", "definition").distinct()
         through = into.join(kills, ["block", "variable"], "left_anti")
         grown = step(out.unionByName(through).distinct())

@@ -139,15 +139,16 @@ def score_scaling(spark, sf_dir):
     exponent = S.scaling_exponent(c("debt_type"), c("cyclomatic"))
     boost = S.risk_boost(c("production_callers") + c("callees"), c("role") == "EntryPoint", (c("coverage") <= 0.4) & (c("cyclomatic") > 20), c("fn") % 5 == 0)
     delegation = S.delegation_ratio(c("callees"), c("length"))
-    quality = S.composition_quality(c("callees"), delegation, c("cyclomatic"))
     context = F.when(c("is_test"), "Test").when(c("fn") % 11 == 0, "Generated").otherwise("Production")
     is_god = c("debt_type") == "GodObject"
-    return _select(functions(spark, sf_dir), {
+    staged = functions(spark, sf_dir).withColumns({"exponent": exponent, "boost": boost, "delegation": delegation}).withColumn("quality", S.composition_quality(c("callees"), c("delegation"), c("cyclomatic")))
+    exponent, boost, delegation, quality = c("exponent"), c("boost"), c("delegation"), c("quality")
+    return _select(staged, {
         "debt_type_multiplier": S.debt_type_multiplier(c("debt_type")),
         "exponent": exponent,
         "scaled": S.exponential_scaling(c("score"), exponent),
         "boost": boost,
-        "final_score": S.final_score(c("score"), c("debt_type"), c("cyclomatic"), boost),
+        "final_score": S.exponential_scaling(c("score"), exponent) * S.debt_type_multiplier(c("debt_type")) * boost,
         "structural_multiplier": S.structural_multiplier(c("nesting"), c("cyclomatic")),
         "role_multiplier": S.role_multiplier(c("role")),
         "role_coverage_weight": S.role_coverage_weight(c("role")),
@@ -235,10 +236,13 @@ def structure_scores(spark, sf_dir):
     role = F.when(c("fn") % 4 == 0, "Pure").when(c("fn") % 4 == 1, "IoOperations").when(c("fn") % 4 == 2, "Debug").otherwise("Utilities")
     quality = F.when(c("line") % 4 == 0, "Excellent").when(c("line") % 4 == 1, "Good").when(c("line") % 4 == 2, "Poor").otherwise("Monolithic")
     spread = F.when(c("fn") % 3 == 0, "Distributed").when(c("fn") % 3 == 1, "Mixed").otherwise("Concentrated")
-    sizes = (c("cyclomatic"), c("production_callers"), c("callees"), c("length") * 20)
-    return _select(functions(spark, sf_dir), {
-        "god_score": S.god_object_score(*sizes),
-        "god_score_weighted": S.god_object_score(*sizes, c("cognitive")),
+    product, violations = S.god_object_sizes(c("cyclomatic"), c("production_callers"), c("callees"), c("length") * 20)
+    # What several formulas use is a column first: the generated method stays small enough to be compiled.
+    staged = functions(spark, sf_dir).withColumns({"product": product, "violations": violations, "expected": role, "quality": quality, "spread": spread})
+    role, quality, spread = c("expected"), c("quality"), c("spread")
+    return _select(staged, {
+        "god_score": S.god_object_score(c("product"), c("violations")),
+        "god_score_weighted": S.god_object_score(c("product"), c("violations"), c("cognitive")),
         "god_complexity": S.god_complexity_factor(c("cognitive"), c("cyclomatic"), c("cyclomatic") * 3, c("nesting")),
         "effective_methods": S.effective_methods(c("cyclomatic"), c("cognitive")),
         "weighted_total": S.weighted_total(c("cyclomatic"), c("coverage") * 100, c("nesting"), c("length"), c("callees")),
@@ -273,16 +277,18 @@ RAW_ROI = "(score * (1 + least(callees * 0.1, 1)) * 0.9 / (line * 1.0))"
     "risk_category": f"CASE WHEN is_test THEN CASE WHEN (cyclomatic + cognitive) // 2 > 20 THEN 'High' WHEN (cyclomatic + cognitive) // 2 > 10 THEN 'Medium' ELSE 'Low' END WHEN {PERCENT} IS NULL THEN CASE WHEN (cyclomatic + cognitive) // 2 > 15 THEN 'Critical' WHEN (cyclomatic + cognitive) // 2 > 10 THEN 'High' WHEN (cyclomatic + cognitive) // 2 > 5 THEN 'Medium' ELSE 'Low' END WHEN (cyclomatic + cognitive) // 2 > 10 AND {PERCENT} > 80 THEN 'WellTested' WHEN score >= 8 THEN 'Critical' WHEN score >= 6 THEN 'High' WHEN score >= 4 THEN 'Medium' ELSE 'Low' END",
 }))
 def risk_scores(spark, sf_dir):
-    percent = F.when(c("fn") % 7 != 0, c("coverage") * 100)
+    staged = functions(spark, sf_dir).withColumn("percent", F.when(c("fn") % 7 != 0, c("coverage") * 100))
+    percent = c("percent")
     base, penalty = S.base_risk(c("cyclomatic"), c("cognitive"), percent, c("is_test")), S.coverage_penalty(percent)
     debt = S.debt_factor(c("score"), F.when(c("line") > 1, c("line")))
     priority = F.when(c("line") % 4 == 0, "Low").when(c("line") % 4 == 1, "Medium").when(c("line") % 4 == 2, "High").otherwise("Critical")
     category = F.when(c("fn") % 4 == 0, "Architecture").when(c("fn") % 4 == 1, "Performance").when(c("fn") % 4 == 2, "Testing").otherwise("CodeQuality")
-    return _select(functions(spark, sf_dir), {
-        "base_risk": base,
-        "coverage_penalty": penalty,
-        "debt_factor": debt,
-        "risk_score": S.risk_score(base, debt, F.lit(1.0), penalty, F.lit(1.0), c("cognitive")),
+    staged = staged.withColumns({"base": base, "penalty": penalty, "debt": debt})
+    return _select(staged, {
+        "base_risk": c("base"),
+        "coverage_penalty": c("penalty"),
+        "debt_factor": c("debt"),
+        "risk_score": S.risk_score(c("base"), c("debt"), F.lit(1.0), c("penalty"), F.lit(1.0), c("cognitive")),
         "risk_contribution": S.risk_contribution(c("cyclomatic"), c("coverage")),
         "bug_density": S.bug_density(c("line"), c("callees")),
         "roi": S.roi(c("score"), c("callees"), F.lit(0.9), c("line"), F.lit(0.8)),
