@@ -59,7 +59,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of the same id are the pages' outcomes: low quality is bad."""
     outcomes = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
-    return url_filter.judge(_table(spark, sf_dir, "pages"), outcomes)
+    return url_filter.judge(_table(spark, sf_dir, "pages"), outcomes).withColumn("reputation", F.round("reputation", 9))
 
 
 OP6_SQL = """
@@ -70,9 +70,41 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def _strength(name: str, level: str) -> str:
+    return f"""{name} AS (SELECT CASE WHEN m > 1 AND p * (1 - p) > 0 AND (bb - n * p * p - (m - 1) * p * (1 - p)) / (n - nn / n) > 0
+  THEN least(greatest((1 - (bb - n * p * p - (m - 1) * p * (1 - p)) / (n - nn / n) / (p * (1 - p))) / ((bb - n * p * p - (m - 1) * p * (1 - p)) / (n - nn / n) / (p * (1 - p))), {url_filter.WEAKEST}), {url_filter.STRONGEST}) ELSE {url_filter.STRONGEST} END AS k
+  FROM (SELECT CAST(sum(n) AS DOUBLE) AS n, sum(bad) / CAST(sum(n) AS DOUBLE) AS p, count(*) AS m, CAST(sum(n * n) AS DOUBLE) AS nn, sum(bad * bad / CAST(n AS DOUBLE)) AS bb FROM {level}))"""
+
+
+_RULES = sorted(url_filter.RULES, key=lambda r: (-len(r[1]), r[1]))
+
+
+def _case(said: int) -> str:
+    fits = [f"WHEN (host = '{r[1][: r[1].index('/')]}' OR ends_with(host, '.{r[1][: r[1].index('/')]}')) AND starts_with(path, '{r[1][r[1].index('/') :]}') THEN '{r[said]}'" for r in _RULES]
+    return "CASE " + " ".join(fits) + " END"
+
+
+OP10_SQL = rf"""
+WITH parsed AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)\A.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(coalesce(url, ''), '(?s)\A.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+hosts AS (SELECT host, count(*) AS n, sum(1 - quality) AS bad, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix
+  FROM parsed JOIN labels ON page_id = doc_id WHERE quality IS NOT NULL GROUP BY host),
+domains AS (SELECT domain, suffix, CAST(sum(n) AS BIGINT) AS n, CAST(sum(bad) AS BIGINT) AS bad FROM hosts GROUP BY domain, suffix),
+suffixes AS (SELECT suffix, CAST(sum(n) AS BIGINT) AS n, CAST(sum(bad) AS BIGINT) AS bad FROM domains GROUP BY suffix),
+{_strength("ks", "suffixes")}, {_strength("kd", "domains")}, {_strength("kh", "hosts")},
+top AS (SELECT (sum(bad) + 0.5) / CAST(sum(n) + 1 AS DOUBLE) AS rate FROM suffixes),
+by_suffix AS (SELECT suffix, (bad + k * rate) / (n + k) AS rate FROM suffixes, ks, top),
+by_domain AS (SELECT domain, (bad + k * rate) / (n + k) AS rate FROM domains JOIN by_suffix USING (suffix), kd),
+by_host AS (SELECT host, n + k + 1 AS size, (bad + k * rate) / (n + k) AS mean FROM hosts JOIN by_domain USING (domain), kh),
+known AS (SELECT host, mean - {url_filter.Z} * sqrt(mean * (1 - mean) / size) AS reputation FROM by_host)
+SELECT page_id, host, path, {_case(1)} AS rule, coalesce({_case(0)}, CASE WHEN reputation > {url_filter.LIMIT} THEN 'block' ELSE 'allow' END) AS verdict, round(reputation, 9) AS reputation
+FROM parsed LEFT JOIN known USING (host)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_mixing, op2_html, op3_quality, op4_minhash, op5_simhash, op6_exact_dedup, op7_sharding, op8_lm, op9_bpe, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL}
+    return {"op6_exact_dedup": OP6_SQL, "op10_url_filter": OP10_SQL}
