@@ -273,3 +273,21 @@ def reaching_definitions(blocks: DataFrame, flow: DataFrame) -> DataFrame:
             return into
         out = grown
     return into
+
+
+def similar_callers(edges: DataFrame, least: float) -> DataFrame:
+    """(x, y, similarity), x < y: nodes whose sets of callees overlap by at least ``least`` (Jaccard); only nodes with a callee in common meet."""
+    calls = edges.select("a", "b").distinct()
+    sizes = calls.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    sized = calls.join(sizes, "a")
+    x, y = sized.alias("x"), sized.alias("y")
+    met = x.join(y, (F.col("x.b") == F.col("y.b")) & (F.col("x.a") < F.col("y.a")))
+    common = met.groupBy(F.col("x.a").alias("x"), F.col("y.a").alias("y")).agg(F.count(F.lit(1)).alias("k"), F.first("x.n").alias("nx"), F.first("y.n").alias("ny"))
+    return common.withColumn("similarity", F.col("k") / (F.col("nx") + F.col("ny") - F.col("k"))).where(F.col("similarity") >= least).select("x", "y", "similarity")
+
+
+def linked_clusters(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, cluster) by single linkage: nodes (id) joined by a chain of pairs (x, y) share the smallest id; others are alone."""
+    both = pairs.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(pairs.select(F.col("y").alias("a"), F.col("x").alias("b")))
+    found = strong_components(both).withColumnRenamed("component", "cluster")
+    return nodes.join(found, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))

@@ -155,3 +155,10 @@ def reaching_definitions(spark, sf_dir):
     calls = edges(spark, sf_dir)
     blocks = G.nodes_of(calls).select(c("id").alias("block"), (c("id") % 3).alias("variable"), c("id").alias("definition"))
     return G.reaching_definitions(blocks, calls)
+
+
+@register("caller_clusters", f"""WITH RECURSIVE {NODES_SQL}, s AS (SELECT a, count(*) AS n FROM edges GROUP BY a), p AS (SELECT x.a AS x, y.a AS y, count(*) AS k FROM edges x JOIN edges y ON x.b = y.b AND x.a <> y.a GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN s sx ON sx.a = x JOIN s sy ON sy.a = y WHERE k * 1.0 / (sx.n + sy.n - k) >= 0.3), w AS (SELECT id, id AS r FROM nodes UNION SELECT l.y, w.r FROM w JOIN l ON w.id = l.x) SELECT id, min(r) AS cluster FROM w GROUP BY id""")
+def caller_clusters(spark, sf_dir):
+    calls = edges(spark, sf_dir)
+    return G.linked_clusters(G.nodes_of(calls), G.similar_callers(calls, 0.3))
