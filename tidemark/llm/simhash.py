@@ -23,6 +23,9 @@ RADIUS, BLOCKS = 3, 6
 #: A group of a block table may compare so many pairs; larger groups are cut by further bits.
 PAIRS = 4096
 
+#: Ranges of ids at most: their bounds are literals of the plan.
+RANGES = 1 << 14
+
 
 def votes(term: Column) -> list[Column]:
     """33 sums over a text's terms (null: no vote): 32 of the yes votes on bits k and k + 32, then all votes."""
@@ -131,7 +134,7 @@ def beside_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     Null ids come last; rows of one id are ordered by text hash.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), whole(F.col(text_col)).alias("text"))
-    parts = 8 * n_shuffle(docs.sparkSession)
+    parts = min(8 * n_shuffle(docs.sparkSession), RANGES)
     cuts = ",".join(f"{i / parts:.8f}" for i in range(1, parts))
     bounds = rows.agg(F.expr(f"percentile_approx(id, array({cuts}), {10 * parts})").alias("b")).first()["b"]
     bucket = _bucket(sorted(set(bounds or [])), F.col("id"))
