@@ -207,6 +207,20 @@ def test_filter_reads_levels_back():
     assert (unseen > 0).mean() < 0.05
 
 
+def scores(spark, rows):
+    return {r.doc_id: r.score for r in lm.account(docs(spark, rows)).collect()}
+
+
+def test_scores_do_not_depend_on_the_filter_bound(spark, monkeypatch):
+    """A filter beyond what is sent to the workers holds every n-gram too: the same scores, learned words and pairs included."""
+    rows = [(i, " ".join(f"w{(i * k) % 97} once{i}x{k}" for k in range(1, 20))) for i in range(300)] + [(1000, ""), (1001, None)]
+    one = scores(spark, rows)
+    monkeypatch.setattr(lm, "SEGMENTS", 0, raising=False)
+    monkeypatch.setattr(lm, "HELD_BITS", 0, raising=False)
+    two = scores(spark, rows)
+    assert two == pytest.approx(one)
+
+
 def test_model_is_a_distribution(spark):
     """Over all known words after a history, probabilities sum to about 1."""
     rows = [(i, " ".join(f"v{(i * k * k) % 11}" for k in range(1, 25))) for i in range(100)]
