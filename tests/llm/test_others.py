@@ -221,6 +221,17 @@ def test_scores_do_not_depend_on_the_filter_bound(spark, monkeypatch):
     assert two == pytest.approx(one)
 
 
+@pytest.mark.parametrize("share", [1e-6, 1.0])
+def test_pairs_of_rare_words_are_counted(spark, monkeypatch, share):
+    """The order of words far below 1e-5 of all tokens counts, whether or not the workers know their exact counts."""
+    monkeypatch.setattr(lm, "KNOWN_SHARE", share)
+    held_out = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 10 == 0]
+    learned = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 10 != 0]
+    rows = [(i, "common " * 4000) for i in learned[:100]] + [(i, "pale quartz") for i in learned[100:102]] + [(held_out[0], "pale quartz"), (held_out[1], "quartz pale")]
+    got = scores(spark, rows)
+    assert got[held_out[0]] > got[held_out[1]] + 0.5
+
+
 def test_model_is_a_distribution(spark):
     """Over all known words after a history, probabilities sum to about 1."""
     rows = [(i, " ".join(f"v{(i * k * k) % 11}" for k in range(1, 25))) for i in range(100)]
