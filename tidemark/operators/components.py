@@ -13,7 +13,7 @@ def _edges_unless_stars(edges: DataFrame) -> int:
     """0 if each component of ``edges`` (a, b), a < b, is a star around its smallest id, else the number of edges."""
     ends = edges.select(F.col("a").alias("id"), F.lit(0).alias("leaf")).unionByName(edges.select(F.col("b").alias("id"), F.lit(1).alias("leaf")))
     per = ends.groupBy("id").agg(F.sum("leaf").alias("leaves"), F.count(F.lit(1)).alias("n"))
-    wrong = per.agg(F.count_if("leaves > 1 or leaves > 0 and leaves < n").alias("wrong"), F.sum("leaves").alias("n")).first()
+    wrong = per.agg(F.count_if(F.expr("leaves > 1 or leaves > 0 and leaves < n")).alias("wrong"), F.sum("leaves").alias("n")).first()
     return wrong.n if wrong.wrong else 0
 
 
