@@ -5,7 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from tidemark.llm import exact_dedup, minhash
-from tidemark.llm.components import components
+from tidemark.operators.components import components
 from tests.llm.brute import linked, shingle_set, smallest
 
 SCHEMA = "doc_id long, text string, digest string, keep_id int, id int"

@@ -10,9 +10,10 @@ error bound, go through one ordinary shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.membership import split
 from tidemark.llm.scratch import materialize
 from tidemark.llm.text import utf8
 
@@ -58,16 +59,26 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tr
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tracked: int = TRACKED) -> DataFrame:
     """The rows of ``docs`` that stay, all columns unchanged: one for each distinct text, that with the largest id.
 
-    Copies of heavy texts go at the scan; the few rows that hold a heavy
-    winner's id, and all other rows, are settled by digest. Rows that repeat
-    both id and text leave one. Nulls as for annotate().
+    Copies of heavy texts go at the scan. Which other rows lose is found on the
+    digests; only those rows, and a few that the filter of losers marks too,
+    are shuffled with their texts. Rows that repeat both id and text leave one.
+    Nulls as for annotate(). An empty table gives an empty result. Columns of
+    any name are kept.
     """
-    at, won, size = "__tidemark_digest", "__tidemark_keep", "__tidemark_size"
+    at, won, mark = "__tidemark_digest", "__tidemark_keep", "__tidemark_mark"
     digests = materialize(docs.select(F.col(id_col).alias("id"), digest(F.col(text_col)).alias("digest")), "digests")
-    heavy = winners(digests, tracked).toDF(at, won, size)
-    split = docs.withColumn(at, digest(F.col(text_col))).join(F.broadcast(heavy), at, "left")
+    heavy = winners(digests, tracked)
+    light = digests.join(F.broadcast(heavy.select("digest")), "digest", "left_anti")
+    best = light.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Of a light text with copies, each row but one is unsure; of a heavy one only the rows that hold the winner's id.
+    losers = light.join(best.select("digest"), "digest").unionByName(heavy.select(F.col("keep_id").alias("id"), "digest"))
+    unsure = materialize(losers.select(_mark(F.col("id"), F.col("digest")).alias("id")).distinct(), "unsure")
+    told = docs.withColumn(at, digest(F.col(text_col))).join(F.broadcast(heavy.select(F.col("digest").alias(at), F.col("keep_id").alias(won), F.lit(True).alias(mark))), at, "left")
+    told = told.where(F.col(mark).isNull() | F.col(id_col).eqNullSafe(F.col(won))).withColumn(mark, _mark(F.col(id_col), F.col(at)))
+    sure, rest = split(told, F.col(mark), unsure)
     rank = F.row_number().over(Window.partitionBy(at).orderBy(F.col(id_col).desc_nulls_last()))
-    light = split.where(F.col(size).isNull()).withColumn(won, rank).where(F.col(won) == 1).select(docs.columns)
-    kept = split.where(F.col(size).isNotNull() & F.col(id_col).eqNullSafe(F.col(won)))
-    top = kept.groupBy(at).agg(F.first(F.struct(docs.columns)).alias(won)).select(f"{won}.*")
-    return light.unionByName(top)
+    return sure.select(docs.columns).unionByName(rest.withColumn(won, rank).where(F.col(won) == 1).select(docs.columns))
+
+
+def _mark(id_col: Column, of: Column) -> Column:
+    return F.xxhash64(id_col, of)

@@ -5,11 +5,11 @@ each shingle once: the hash's top bits choose one of ``BINS`` bins, which keep
 their smallest hash, and an empty bin copies the first full one of a
 pseudorandom sequence of bins that is the same for all documents (optimal
 densification, Shrivastava 2017). ``BANDS`` bands of ``ROWS`` bins are bucket
-keys. In a bucket, each member is only paired with a hub, so pairs grow with
-members; every pair is confirmed on the full sets. Further rounds look at
-buckets that still hold more than one component: first with other hubs, then
-with an exact prefix join of those buckets' documents across components, so a
-link that no hub shows is found too.
+keys. In a bucket, each member is only paired with two hubs, the smallest id
+and a pseudorandom one, so pairs grow with members; every pair is confirmed on
+the full sets. The documents of buckets that then still hold more than one
+component go through an exact prefix join across components, so a link that no
+hub shows is found too. Keys that hold many rows (buckets, hubs) are split.
 """
 
 from __future__ import annotations
@@ -19,9 +19,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.components import components
+from tidemark.llm.membership import among, without
 from tidemark.llm.scratch import materialize, ship, small_batches
 from tidemark.llm.text import whole
+from tidemark.operators.components import components
+from tidemark.operators.hot import PARTS, attach, hot
 
 WORDS, PERCENT = 5, 85
 BINS_LOG, ROWS = 7, 4
@@ -29,8 +31,6 @@ BINS = 1 << BINS_LOG
 BANDS = BINS // ROWS
 #: Bins that an empty bin tries; a bin that finds none takes the next full one in order.
 TRIES = 2048
-#: Rounds with other hubs before the exact join of what is left.
-HUB_ROUNDS = 1
 #: Distinct words whose hashes a worker remembers.
 REMEMBERED = 100_000
 _A, _B = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -135,24 +135,6 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFr
     return _texts(docs, id_col, text_col).select("id", sketched("text").alias("s")).select("id", "s.n", "s.digest", "s.bands")
 
 
-#: Bits of the filter of ids whose sets are wanted: 16 an id, within these bounds, so at most 16 MB are broadcast.
-FILTER_BITS = (1 << 18, 1 << 27)
-
-
-def _among(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose id is in ``ids``, and a few others: a Bloom filter of one hash, of bounded size, spares a shuffle of the texts."""
-    bits = FILTER_BITS[0]
-    wanted = ids.count() * 16
-    while bits < min(wanted, FILTER_BITS[1]):
-        bits *= 2
-    place = F.pmod(F.xxhash64("id"), F.lit(bits))
-    block, bit = (place / 32768).cast("int"), (place % 32768).cast("int")
-    marks = ids.select(block.alias("block"), bit.cast("long").alias("bit")).groupBy("block").agg(F.expr("bitmap_construct_agg(bit)").alias("marks"))
-    byte = F.conv(F.hex(F.substring(F.col("marks"), F.lit(1) + (F.col("bit") / 8).cast("int"), F.lit(1))), 16, 10).cast("int")
-    marked = F.getbit(byte, (F.col("bit") % 8)) == 1
-    return rows.withColumn("block", block).withColumn("bit", bit).join(F.broadcast(marks), "block").where(marked).drop("block", "bit", "marks")
-
-
 def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """(id, members): full sets of the documents that ``ids`` names, a few others among them."""
 
@@ -160,35 +142,43 @@ def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, words: in
     def members(texts: pd.Series) -> pd.Series:
         return pd.Series([shingles(t, words).view(np.int64) for t in texts], dtype=object)
 
-    return _among(_texts(docs, id_col, text_col), ids).select("id", members("text").alias("members"))
+    return among(_texts(docs, id_col, text_col), ids).select("id", members("text").alias("members"))
+
+
+def _with_set(pairs: DataFrame, sets: DataFrame, end: str, other: str, total: int) -> DataFrame:
+    """``pairs`` with the set of_<end> of the document ``end``; the pairs of one that has many are cut in lots, for each of which its set is copied."""
+    per = pairs.groupBy(end).agg(F.count(F.lit(1)).alias("n"))
+    lots = F.broadcast(hot(per, total).select(end, F.ceil(F.col("n") * PARTS / max(total, 1)).alias("lots")))
+    own = F.coalesce("lots", F.lit(1))
+    dealt = pairs.join(lots, end, "left").withColumn("lot", F.pmod(F.xxhash64(other), own)).drop("lots")
+    copies = sets.select(F.col("id").alias(end), F.col("members").alias(f"of_{end}")).join(lots, end, "left")
+    copies = copies.select(end, f"of_{end}", F.explode(F.sequence(F.lit(0).cast("long"), own - 1)).alias("lot"))
+    return dealt.join(copies, [end, "lot"]).drop("lot")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) with 100 * intersection >= percent * union of their full sets."""
-    joined = pairs.join(sets.select(F.col("id").alias("b"), F.col("members").alias("of_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("members").alias("of_a")), "a")
+    """Pairs (a, b) of a table with 100 * intersection >= percent * union of their full sets."""
+    total = pairs.count()
+    joined = _with_set(_with_set(pairs, sets, "b", "a", total), sets, "a", "b", total)
     n, m = F.size("of_a"), F.size("of_b")
     possible = 100 * F.least(n, m) >= percent * F.greatest(n, m)
     common = F.size(F.array_intersect("of_a", "of_b"))
-    return joined.where(possible).where(100 * common >= percent * (n + m - common)).select("a", "b").distinct()
+    return joined.where(possible).where(100 * common >= percent * (n + m - common)).select("a", "b")
 
 
-def _open(buckets: DataFrame, found: DataFrame) -> DataFrame:
-    """(key, id, component) of the buckets whose members are of more than one component."""
-    named = buckets.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    return named.join(mixed, "key")
-
-
-def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
-    ordered = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct()
-    return ordered.join(tried, ["a", "b"], "left_anti")
+def _pairs(*ends: DataFrame) -> DataFrame:
+    """(a, b), a < b, once each, from tables (x, y)."""
+    every = ends[0]
+    for more in ends[1:]:
+        every = every.unionByName(more)
+    return every.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct()
 
 
-def _hubs(opened: DataFrame, turn: int) -> DataFrame:
-    """Each bucket's hub of this turn with the members of other components."""
-    rank = F.xxhash64(F.lit(turn), "key", "id")
-    hubs = opened.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), "id", "component")).alias("hub"))
-    return opened.join(hubs, "key").where("component <> hub.component").select(F.col("id").alias("x"), F.col("hub.id").alias("y"))
+def _open(buckets: DataFrame, found: DataFrame) -> DataFrame:
+    """(id, component) of the documents in buckets (key, id) whose members are of more than one component."""
+    named = buckets.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    per = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"))
+    return attach(named, per.where("low < high").select("key", "n"), "key", buckets.count()).select("id", "component").distinct()
 
 
 def _by_prefix(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -200,10 +190,9 @@ def _by_prefix(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     that differ from each other by rare members of their own, as the edited
     copies of one text do, meet nowhere, so no crowd's pairs are compared.
     """
-    alone = opened.select("id", "component").distinct()
-    listed = alone.join(sets.dropDuplicates(["id"]), "id").select("id", "component", F.size("members").alias("n"), F.explode("members").alias("member"))
+    listed = opened.join(sets.dropDuplicates(["id"]), "id").select("id", "component", F.size("members").alias("n"), F.explode("members").alias("member"))
     listed = materialize(listed, "listed")
-    counts = listed.groupBy("member").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    counts = materialize(listed.groupBy("member").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "counts")
     # A member of one document only meets nothing; it still takes its place in the order, before all others.
     placed = listed.join(counts, "member", "left").withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("df", F.lit(1)), "member")))
     n = F.col("n")
@@ -226,47 +215,37 @@ def classes(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col:
     set and are linked with nothing. Rows that share an id are one node: what
     one of them is linked with, all are. Rows with a null id link others with
     nothing; one whose set another row has takes that row's component, else
-    component_id is null and the row is kept. Other columns are not read. An
-    empty table gives an empty result.
+    component_id is null and the row is kept. Ids are integers. Other columns
+    are not read. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    small_batches(spark)
+    ship(docs.sparkSession)
+    small_batches(docs.sparkSession)
     rows = materialize(_sketched(docs, id_col, text_col, words), "sketches")
-    groups = rows.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("first"))
-    firsts = materialize(groups, "firsts")
-    keys = materialize(rows.where("digest is not null").join(firsts.select(F.col("first").alias("id"), F.col("digest").alias("d")), "id").where("digest = d").select("id", "bands").dropDuplicates(["id", "bands"]), "keys")
-    members = keys.select("id", F.explode("bands").alias("key"))
-    hubs = members.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("key", "hub")
-    buckets = materialize(members.join(hubs, "key"), "buckets")
-    tried = materialize(_untried(buckets.select(F.col("hub").alias("x"), F.col("id").alias("y")), spark.createDataFrame([], "a long, b long")), "stars")
+    firsts = rows.where("digest is not null and id is not null").groupBy("digest").agg(F.min(F.struct("id", "bands")).alias("f"))
+    keys = materialize(firsts.select("digest", F.col("f.id").alias("first"), "f.bands"), "keys")
+    members = keys.select(F.col("first").alias("id"), F.explode("bands").alias("key"))
+    ends = members.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.min_by("id", F.xxhash64("key", "id")).alias("other"), F.count(F.lit(1)).alias("n"))
+    hubs = materialize(ends.where("hub < last").drop("last"), "hubs")
+    buckets = materialize(attach(members, hubs, "key", hubs.agg(F.sum("n")).first()[0] or 0).drop("n"), "buckets")
+    tried = materialize(_pairs(buckets.select(F.col("hub").alias("x"), F.col("id").alias("y")), buckets.select(F.col("other").alias("x"), F.col("id").alias("y"))), "pairs")
     sets = materialize(_sets(docs, buckets.select("id").distinct(), id_col, text_col, words), "sets")
-    links = materialize(_confirmed(tried, sets, percent), "links")
-    edges = links.unionByName(_repeated(rows, firsts))
-    found = components(edges)
-    for turn in range(1, HUB_ROUNDS + 2):
-        opened = materialize(_open(buckets.select("key", "id"), found), "open")
-        if opened.isEmpty():
-            break
-        pairs = _hubs(opened, turn) if turn <= HUB_ROUNDS else _by_prefix(opened, sets, percent)
-        fresh = materialize(_untried(pairs, tried), "pairs")
-        more = materialize(_confirmed(fresh, sets, percent), "links")
-        tried = tried.unionByName(fresh)
-        if more.isEmpty():
-            continue
-        edges = edges.unionByName(more)
-        found = components(edges)
-    named = firsts.join(found.withColumnRenamed("id", "first"), "first", "left").select("digest", F.coalesce("component", "first").alias("component_id"))
+    found = components(_confirmed(tried, sets, percent).unionByName(_repeated(rows, keys)))
+    opened = materialize(_open(buckets.select("key", "id"), found), "open")
+    if opened.count():
+        more = materialize(_confirmed(materialize(_pairs(_by_prefix(opened, sets, percent)), "pairs"), sets, percent), "links")
+        if more.count():
+            found = components(found.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(more))
+    named = keys.join(found.withColumnRenamed("id", "first"), "first", "left").select("digest", F.coalesce("component", "first").alias("component_id"))
     set_rows = rows.where("digest is not null").select("id", "n", "digest").join(named, "digest", "left").select("id", "n", "component_id")
     empty = rows.where("digest is null").select("id", "n", F.col("id").alias("component_id"))
     whole_id = F.coalesce("component_id", "id")
     return set_rows.unionByName(empty).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), whole_id.alias("component_id"), F.col("id").eqNullSafe(whole_id).alias("kept"))
 
 
-def _repeated(rows: DataFrame, firsts: DataFrame) -> DataFrame:
+def _repeated(rows: DataFrame, keys: DataFrame) -> DataFrame:
     """Links (a, b) from an id that has several sets to the first id of each of their classes."""
     several = rows.where("digest is not null and id is not null").groupBy("id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("id")
-    return rows.select("id", "digest").join(several, "id").join(firsts, "digest").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    return rows.select("id", "digest").join(several, "id").join(keys.select("digest", "first"), "digest").select(F.col("first").alias("a"), F.col("id").alias("b"))
 
 
 def deduplicate(docs: DataFrame, percent: int = 80, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -276,5 +255,5 @@ def deduplicate(docs: DataFrame, percent: int = 80, words: int = WORDS, id_col:
     nothing tells apart. Rows that share a kept id stay together.
     """
     found = classes(docs, percent, words, id_col, text_col)
-    dropped = found.where(~F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__tidemark_id")).distinct()
-    return docs.join(dropped, F.col(id_col) == F.col("__tidemark_id"), "left_anti")
+    dropped = materialize(found.where(~F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct(), "dropped")
+    return without(docs, F.col(id_col).cast("long"), dropped)

@@ -8,7 +8,9 @@ representations gives the document's score (Ilse, Tomczak, Welling, 2018).
 
 from __future__ import annotations
 
+import pickle
 import unicodedata
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +28,8 @@ KINDS = 12
 #: Pairs of neighbouring characters' kinds, share of distinct words, mean word length, passage length.
 WIDTH = KINDS * KINDS + 3
 HIDDEN, GATES, EPOCHS, RATE, DECAY = 24, 12, 160, 0.02, 1e-4
+#: Passages that are scored together.
+LOT = 4096
 
 
 def _kind(c: str) -> int:
@@ -95,13 +99,23 @@ class Attention:
         z = np.add.reduceat(h * weight[:, None], starts)
         return h, a, s, weight, bags, z, z @ self.out + self.bias
 
-    def score(self, bags: list[np.ndarray]) -> np.ndarray:
-        """Probability of label 1 for each bag of encoded passages."""
-        if not bags:
-            return np.zeros(0)
+    def score(self, bags: Iterable[np.ndarray]) -> np.ndarray:
+        """Probability of label 1 for each bag of encoded passages, to nine places; bags go through in lots of about LOT passages."""
+        out, held, n = [], [], 0
+        for bag in bags:
+            held.append(bag)
+            n += len(bag)
+            if n >= LOT:
+                out.append(self._logits(held))
+                held, n = [], 0
+        if held:
+            out.append(self._logits(held))
+        logit = np.concatenate(out) if out else np.zeros(0)
+        return np.round(1 / (1 + np.exp(-np.clip(logit, -30, 30))), 9)
+
+    def _logits(self, bags: list[np.ndarray]) -> np.ndarray:
         starts = np.cumsum([0, *map(len, bags[:-1])])
-        logit = self._forward((np.concatenate(bags) - self.mean) / self.scale, starts)[-1]
-        return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+        return self._forward((np.concatenate(bags) - self.mean) / self.scale, starts)[-1]
 
     def attention(self, bag: np.ndarray) -> np.ndarray:
         """The passages' weights; they sum to 1."""
@@ -150,9 +164,11 @@ def third(id_col: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Attention:
     """Fit on labelled documents whose id's crc32 mod 3 is not 1.
 
-    Of each class, the ``per_class`` ids that come first by hash are read, so
-    what reaches the driver does not grow with the input. Null ids or labels
-    and labels without a document don't count.
+    Of each class, the ``per_class`` ids that come first by hash are read and
+    fitted in one task, so that task does not grow with the number of
+    documents; the driver gets the weights. Null ids or labels and labels
+    without a document don't count; without labels of both classes the model
+    scores every document 0.5. Rows that repeat an id are all read.
     """
     ship(docs.sparkSession)
     small_batches(docs.sparkSession)
@@ -164,18 +180,28 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col
     def encoded(text: pd.Series) -> pd.Series:
         return pd.Series([encode(t).tobytes() for t in text], dtype=object)
 
-    rows = sample.select(id_col, "label", encoded("text").alias("x")).toPandas().sort_values([id_col, "label", "x"])
-    return fit([np.frombuffer(x, np.float32).reshape(-1, WIDTH) for x in rows["x"]], rows["label"].to_numpy())
+    def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([pd.DataFrame({"id": [], "label": [], "x": []}), *batches]).sort_values(["id", "label", "x"])
+        model = fit([np.frombuffer(x, np.float32).reshape(-1, WIDTH) for x in rows["x"]], rows["label"].to_numpy(int))
+        yield pd.DataFrame({"model": [pickle.dumps(model)]})
+
+    rows = sample.select(F.col(id_col).alias("id"), "label", encoded("text").alias("x")).repartition(1).mapInPandas(fitted, "model binary").collect()
+    return pickle.loads(rows[0]["model"]) if rows else fit([], np.zeros(0, int))
 
 
 def scored(docs: DataFrame, model: Attention, to: str = "score", text_col: str = "text") -> DataFrame:
-    """``docs`` with the column ``to``: the score (0 to 1) of the whole text; null counts as empty. A column of that name is replaced."""
+    """``docs`` with the column ``to``: the score (0 to 1) of the whole text.
+
+    Null texts count as empty, repeated rows each get their score, an empty
+    table gives an empty result. A column of that name is replaced, others of
+    any name are kept.
+    """
     ship(docs.sparkSession)
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
-        return pd.Series([model.score([encode(t)])[0] for t in text], dtype=float)
+        return pd.Series(model.score(map(encode, text)), dtype=float)
 
     return docs.withColumn(to, score(whole(F.col(text_col))))
 
@@ -188,5 +214,10 @@ def account(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier predicts to have quality 1, all columns unchanged."""
+    """The rows of ``docs`` that the classifier predicts to have quality 1, all columns unchanged.
+
+    Null texts count as empty; rows with null ids are scored like others, and
+    repeated rows stay or go together. Without labels of both classes all rows
+    stay. An empty table gives an empty result.
+    """
     return scored(docs, train(docs, labels), "__tidemark_score").where("__tidemark_score >= 0.5").drop("__tidemark_score")
