@@ -6,7 +6,7 @@ their smallest hash, and an empty bin copies the first full one of a
 pseudorandom sequence of bins that is the same for all documents (optimal
 densification, Shrivastava 2017). ``BANDS`` bands of ``ROWS`` bins are bucket
 keys. In a bucket, each member is only paired with two hubs, the smallest id
-and a pseudorandom one, so pairs grow with members; every pair is confirmed on
+and the first by a hash of the ids, so pairs grow with members; every pair is confirmed on
 the full sets. The documents of buckets that then still hold more than one
 component go through an exact prefix join across components, so a link that no
 hub shows is found too. Keys that hold many rows (buckets, hubs) are split.
@@ -224,7 +224,7 @@ def classes(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col:
     firsts = rows.where("digest is not null and id is not null").groupBy("digest").agg(F.min(F.struct("id", "bands")).alias("f"))
     keys = materialize(firsts.select("digest", F.col("f.id").alias("first"), "f.bands"), "keys")
     members = keys.select(F.col("first").alias("id"), F.explode("bands").alias("key"))
-    ends = members.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.min_by("id", F.xxhash64("key", "id")).alias("other"), F.count(F.lit(1)).alias("n"))
+    ends = members.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.min_by("id", F.xxhash64("id")).alias("other"), F.count(F.lit(1)).alias("n"))
     hubs = materialize(ends.where("hub < last").drop("last"), "hubs")
     buckets = materialize(attach(members, hubs, "key", hubs.agg(F.sum("n")).first()[0] or 0).drop("n"), "buckets")
     tried = materialize(_pairs(buckets.select(F.col("hub").alias("x"), F.col("id").alias("y")), buckets.select(F.col("other").alias("x"), F.col("id").alias("y"))), "pairs")
