@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.running import running
+
 
 def sort_order(criterion: str, keys: list[str], score: str = "score", coverage: str = "coverage", complexity: str = "cognitive", path: str = "file", fn: str = "fn") -> list[Column]:
     """The view's five orders, with ``keys`` as the last word so that results repeat: score, coverage (unknown first), complexity, path, function."""
@@ -19,9 +21,10 @@ def sort_order(criterion: str, keys: list[str], score: str = "score", coverage:
 
 
 def ranked(items: DataFrame, order: list[Column], n: int | None = None, to: str = "place") -> DataFrame:
-    """The first ``n`` items with their place. The limit is taken first, so that only ``n`` rows are numbered in one task; without one, every row is."""
-    top = items.orderBy(*order).limit(n) if n is not None else items
-    return top.withColumn(to, F.row_number().over(Window.orderBy(*order)))
+    """The first ``n`` items with their place from 1. The limit is taken first, so that only ``n`` rows are numbered in one task; without one, rows are numbered range by range."""
+    if n is None:
+        return running(items, order, {}, to).withColumn(to, (F.col(to) + 1).cast("int"))
+    return items.orderBy(*order).limit(n).withColumn(to, F.row_number().over(Window.orderBy(*order)))
 
 
 def reverse_order(order: list[Column], keys: list[str], score: str = "score") -> list[Column]:
