@@ -16,31 +16,43 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.scratch import materialize
 from tidemark.llm.text import n_words, whole
+from tidemark.operators.hot import attach
+from tidemark.operators.running import running
 
 #: Rounds of the swap-or-not permutation.
 ROUNDS = 24
 SLOTS_PER_SHARD = 4096
+#: Width of the cells by which slots meet the sources' shares.
+CELL = 4096
+#: Slots that a task maps through permutations, and the most tasks.
+SLOTS_PER_TASK, MOST_TASKS = 1 << 15, 20_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], repeats: float) -> DataFrame:
-    """(source, source_size, target) from rows (source, size).
+    """(key, source, source_size, target, rows) from rows (source, size).
 
     Sources in code-point order, null last, take ``weights`` in turn and share
     all words; no target exceeds ``repeats`` times its source, and the excess
-    goes to the others by weight until none is above. One row for each source
-    is ordered in one task: sources are few, whatever the number of documents.
+    goes to the others by weight until none is above. Sources may be many: they
+    are ordered and summed range by range. ``rows`` counts a source's documents
+    and ``key`` stands for it, null included.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    turn = (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights)
-    listed = per.withColumn("weight", F.element_at(F.array(*map(F.lit, map(float, weights))), (turn + 1).cast("int")))
-    everything = Window.partitionBy()
+    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows")).withColumn("key", source_key(F.col("source")))
+    listed = running(per, [F.col("source").asc_nulls_last()], {}, "turn")
+    weight = F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("turn") % len(weights) + 1).cast("int"))
+    filled = listed.withColumn("weight", weight).withColumn("cap", F.col("source_size") * float(repeats)).withColumn("full_at", F.col("cap") / F.col("weight"))
     # Ordered by the level at which a source is full, the full ones come first. The level is right where it doesn't pass the next one's.
-    order = Window.orderBy(F.col("full_at"), F.col("source").asc_nulls_last())
-    filled = listed.withColumn("cap", F.col("source_size") * float(repeats)).withColumn("full_at", F.col("cap") / F.col("weight"))
-    level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))) / F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
-    levels = filled.withColumn("level", level).withColumn("open", F.col("level") <= F.col("full_at"))
-    final = F.min(F.when(F.col("open"), F.struct("full_at", "level"))).over(everything)["level"]
-    return levels.withColumn("final", final).select("source", "source_size", F.coalesce(F.least(F.col("cap"), F.col("weight") * F.col("final")), F.col("cap")).alias("target"))
+    ordered = materialize(running(filled, [F.col("full_at"), F.col("source").asc_nulls_last()], {"caps": "cap", "weights": "weight"}), "ordered")
+    all_words, all_weights = ordered.agg(F.sum("source_size"), F.sum("weight")).first()
+    level = (F.lit(float(all_words or 0)) - F.col("caps")) / (F.lit(float(all_weights or 1)) - F.col("weights"))
+    final = ordered.withColumn("level", level).where("level <= full_at").agg(F.min(F.struct("full_at", "level"))["level"]).first()[0]
+    target = F.col("cap") if final is None else F.least(F.col("cap"), F.col("weight") * F.lit(final))
+    return ordered.select("key", "source", "source_size", target.alias("target"), "rows")
+
+
+def source_key(source: Column) -> Column:
+    """A source as a text that is never null."""
+    return F.coalesce(F.concat(F.lit("="), source), F.lit(""))
 
 
 def permuted(index: Column, n: Column, *key: Column) -> Column:
@@ -77,35 +89,39 @@ def packed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Data
     return materialize(joined.select("a.id", "a.source", "a.size", (F.col("base") + F.col("local")).alias("start")), "packed")
 
 
+def _within(points: DataFrame, at: str, intervals: DataFrame, low: str, high: str) -> DataFrame:
+    """Each point with the interval that holds it, low <= at < high; intervals don't overlap. Both are cut into cells of CELL, so a task gets few of either."""
+    cells = intervals.where(F.col(low) < F.col(high)).withColumn("cell", F.explode(F.sequence(F.floor(F.col(low) / CELL), F.floor((F.col(high) - 1) / CELL))))
+    joined = points.withColumn("cell", F.floor(F.col(at) / CELL)).join(cells, "cell")
+    return joined.where((F.col(low) <= F.col(at)) & (F.col(at) < F.col(high))).drop("cell")
+
+
 def draws(targets: DataFrame, block_tokens: int, seed: int) -> DataFrame:
-    """(source, block, times, shards): how often, and into which shards, the mix takes each block."""
+    """(key, block, times, shards): how often, and into which shards, the mix takes each block."""
     spark = targets.sparkSession
     quota = F.when(F.col("source_size") > 0, F.round(F.col("target") * F.col("blocks") / F.col("source_size"))).otherwise(0).cast("long")
-    quotas = targets.withColumn("blocks", F.ceil(F.col("source_size") / block_tokens)).withColumn("quota", quota)
-    upto = Window.orderBy(F.col("source").asc_nulls_last())
-    quotas = materialize(quotas.withColumn("upto", F.sum("quota").over(upto)).withColumn("number", F.row_number().over(upto)), "quotas")
-    total = quotas.agg(F.max("upto")).first()[0] or 0
-    bounds = F.broadcast(quotas.agg(F.sort_array(F.collect_list("upto")).alias("bounds")))  # one number for each source
+    wanted = targets.select("key", "source_size", "target", F.ceil(F.col("source_size") / block_tokens).alias("blocks")).withColumn("quota", quota)
+    quotas = materialize(running(wanted, [F.col("key")], {"from": "quota"}, "number"), "quotas").select("key", "number", "blocks", "quota", "from")
+    total = quotas.agg(F.sum("quota")).first()[0] or 0
     shards = -(-total // SLOTS_PER_SHARD)
-    uniform = F.pmod(F.xxhash64(F.lit(seed), F.lit("draw"), F.col("id")), F.lit(total or 1))
-    number = F.size(F.filter("bounds", lambda b: b <= uniform)) + 1
-    slots = spark.range(total).crossJoin(bounds) if total else spark.range(0).crossJoin(bounds)
-    counts = slots.groupBy((F.col("id") % F.lit(shards or 1)).alias("shard"), number.alias("number")).agg(F.count(F.lit(1)).alias("n"))
-    counts = materialize(counts, "counts")
-    first = Window.partitionBy("number").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    drawn = counts.withColumn("base", F.coalesce(F.sum("n").over(first), F.lit(0)))
+    slots = spark.range(total).select((F.col("id") % F.lit(shards or 1)).alias("shard"), F.pmod(F.xxhash64(F.lit(seed), F.lit("draw"), F.col("id")), F.lit(total or 1)).alias("u"))
+    hit = _within(slots, "u", quotas.select("number", F.col("from").alias("low"), (F.col("from") + F.col("quota")).alias("high")), "low", "high")
+    counts = materialize(running(hit.groupBy("number", "shard").agg(F.count(F.lit(1)).alias("n")), [F.col("number"), F.col("shard")], {"before": "n"}), "counts")
     # The settlement: slots beyond a source's quota, in order, fill the quotas that the draws left open.
-    totals = quotas.join(counts.groupBy("number").agg(F.sum("n").alias("got")), "number", "left").na.fill(0, ["got"]).withColumn("over", F.greatest(F.col("got") - F.col("quota"), F.lit(0))).withColumn("open", F.greatest(F.col("quota") - F.col("got"), F.lit(0)))
-    running = Window.orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
-    totals = materialize(totals.withColumn("over_from", F.coalesce(F.sum("over").over(running), F.lit(0))).withColumn("open_from", F.coalesce(F.sum("open").over(running), F.lit(0))), "totals")
-    own = drawn.join(F.broadcast(totals), "number").select("source", "blocks", "shard", "base", F.least(F.col("base") + F.col("n"), F.col("quota")).alias("end")).where("base < end")
-    moved = drawn.join(F.broadcast(totals), "number").where("base + n > quota").select("shard", F.explode(F.sequence(F.greatest("base", "quota"), F.col("base") + F.col("n") - 1)).alias("at"), "over_from", "quota").select("shard", (F.col("over_from") + F.col("at") - F.col("quota")).alias("surplus"))
-    lacking = totals.where("open > 0").agg(F.sort_array(F.collect_list(F.struct("open_from", "open", "source", "blocks", "got"))).alias("lacking"))
-    fits = F.element_at(F.filter("lacking", lambda x: x["open_from"] <= F.col("surplus")), -1)
-    refilled = moved.crossJoin(F.broadcast(lacking)).withColumn("to", fits).select("to.source", "to.blocks", "shard", (F.col("to.got") + F.col("surplus") - F.col("to.open_from")).alias("base")).withColumn("end", F.col("base") + 1)
-    taken = own.unionByName(refilled).withColumn("slot", F.explode(F.sequence("base", F.col("end") - 1)))
-    block = permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.lit(seed), F.col("source"), F.floor(F.col("slot") / F.col("blocks")))
-    return taken.select("source", block.alias("block"), "shard").groupBy("source", "block").agg(F.count(F.lit(1)).alias("times"), F.sort_array(F.collect_list("shard")).alias("shards"))
+    got = counts.groupBy("number").agg(F.sum("n").alias("got"), F.min("before").alias("first"), F.count(F.lit(1)).alias("n_shards"))
+    both = quotas.join(got, "number", "left").na.fill(0, ["got", "first", "n_shards"]).withColumn("over", F.greatest(F.col("got") - F.col("quota"), F.lit(0))).withColumn("open", F.greatest(F.col("quota") - F.col("got"), F.lit(0)))
+    totals = materialize(running(both.drop("from"), [F.col("number")], {"over_from": "over", "open_from": "open"}), "totals")
+    drawn = attach(counts.withColumnRenamed("n", "drawn"), totals, "number", counts.count(), "n_shards").withColumn("base", F.col("before") - F.col("first"))
+    own = drawn.select("key", "blocks", "shard", "base", F.least(F.col("base") + F.col("drawn"), F.col("quota")).alias("end")).where("base < end")
+    beyond = drawn.where("base + drawn > quota").select("shard", F.explode(F.sequence(F.greatest("base", "quota"), F.col("base") + F.col("drawn") - 1)).alias("at"), "over_from", "quota")
+    surplus = beyond.select("shard", (F.col("over_from") + F.col("at") - F.col("quota")).alias("at"))
+    lacking = totals.select("key", "blocks", "got", F.col("open_from").alias("low"), (F.col("open_from") + F.col("open")).alias("high"))
+    refilled = _within(surplus, "at", lacking, "low", "high").select("key", "blocks", "shard", (F.col("got") + F.col("at") - F.col("low")).alias("base")).withColumn("end", F.col("base") + 1)
+    # Few rows stand for many slots here, so they are dealt out anew before they become slots.
+    dealt = own.unionByName(refilled).repartition(max(1, min(-(-total // SLOTS_PER_TASK), MOST_TASKS)), "key", "shard", "base")
+    taken = dealt.withColumn("slot", F.explode(F.sequence("base", F.col("end") - 1)))
+    block = permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.lit(seed), F.col("key"), F.floor(F.col("slot") / F.col("blocks")))
+    return taken.select("key", block.alias("block"), "shard").groupBy("key", "block").agg(F.count(F.lit(1)).alias("times"), F.sort_array(F.collect_list("shard")).alias("shards"))
 
 
 def spread(placed: DataFrame, block_tokens: int) -> DataFrame:
@@ -118,7 +134,7 @@ def spread(placed: DataFrame, block_tokens: int) -> DataFrame:
 
 def _drawn_pieces(placed: DataFrame, targets: DataFrame, block_tokens: int, seed: int) -> DataFrame:
     pieces, taken = spread(placed, block_tokens).alias("p"), draws(targets, block_tokens, seed).alias("t")
-    return pieces.join(taken, F.col("p.source").eqNullSafe(F.col("t.source")) & (F.col("p.block") == F.col("t.block"))).select("p.*", "times", "shards")
+    return pieces.join(taken, (source_key(F.col("p.source")) == F.col("t.key")) & (F.col("p.block") == F.col("t.block"))).select("p.*", "times", "shards")
 
 
 def account(docs: DataFrame, weights=(5, 2, 1), repeats: float = 3.0, block_tokens: int = 64, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -137,7 +153,8 @@ def account(docs: DataFrame, weights=(5, 2, 1), repeats: float = 3.0, block_toke
     # Documents that the mix leaves out are added as rows of their own, so no outer join is needed.
     summed = taken.unionByName(placed.withColumn("taken", F.lit(0).cast("long"))).where("size > 0").groupBy("id", "source", "size", "start").agg(F.sum("taken").alias("taken"))
     every = summed.drop("start").unionByName(placed.where("size = 0").drop("start").withColumn("taken", F.lit(0).cast("long")))
-    return every.alias("e").join(F.broadcast(targets.alias("t")), F.col("e.source").eqNullSafe(F.col("t.source"))).select(F.col("id").alias(id_col), "size", "source_size", "target", "taken")
+    told = attach(every.select("id", "size", "taken", source_key(F.col("source")).alias("key")), targets.drop("source"), "key", placed.count(), "rows")
+    return told.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken")
 
 
 def mix(docs: DataFrame, weights=(5, 2, 1), repeats: float = 3.0, block_tokens: int = 64, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
