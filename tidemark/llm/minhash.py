@@ -5,11 +5,12 @@ each shingle once: the hash's top bits choose one of ``BINS`` bins, which keep
 their smallest hash, and an empty bin copies the first full one of a
 pseudorandom sequence of bins that is the same for all documents (optimal
 densification, Shrivastava 2017). ``BANDS`` bands of ``ROWS`` bins are bucket
-keys. In a bucket, each member is only paired with two hubs, the smallest id
-and the first by a hash of the ids, so pairs grow with members; every pair is confirmed on
-the full sets. The documents of buckets that then still hold more than one
-component go through an exact prefix join across components, so a link that no
-hub shows is found too. Keys that hold many rows (buckets, hubs) are split.
+keys. In a bucket, each member is only paired with a hub, the smallest id, so
+pairs grow with members; every pair is confirmed on the full sets. Buckets that
+then still hold more than one component have their members paired with another
+hub, and the documents of those that even then do go through an exact prefix
+join across components, so a link that no hub shows is found too. Keys that
+hold many rows (buckets, hubs) are split.
 """
 
 from __future__ import annotations
@@ -175,10 +176,16 @@ def _pairs(*ends: DataFrame) -> DataFrame:
 
 
 def _open(buckets: DataFrame, found: DataFrame) -> DataFrame:
-    """(id, component) of the documents in buckets (key, id) whose members are of more than one component."""
+    """(key, id, component) of the buckets (key, id) whose members are of more than one component."""
     named = buckets.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     per = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"))
-    return attach(named, per.where("low < high").select("key", "n"), "key", buckets.count()).select("id", "component").distinct()
+    return attach(named, per.where("low < high").select("key", "n"), "key", buckets.count()).select("key", "id", "component")
+
+
+def _to_own_hubs(opened: DataFrame, total: int) -> DataFrame:
+    """Each member of the buckets (key, id, component) with a pseudorandom hub of its bucket, where that is of another component."""
+    hubs = opened.groupBy("key").agg(F.min_by(F.struct("id", "component"), F.xxhash64("key", "id")).alias("hub"), F.count(F.lit(1)).alias("n"))
+    return attach(opened, hubs, "key", total).where("component <> hub.component").select(F.col("id").alias("x"), F.col("hub.id").alias("y"))
 
 
 def _by_prefix(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -190,7 +197,7 @@ def _by_prefix(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     that differ from each other by rare members of their own, as the edited
     copies of one text do, meet nowhere, so no crowd's pairs are compared.
     """
-    listed = opened.join(sets.dropDuplicates(["id"]), "id").select("id", "component", F.size("members").alias("n"), F.explode("members").alias("member"))
+    listed = opened.select("id", "component").distinct().join(sets.dropDuplicates(["id"]), "id").select("id", "component", F.size("members").alias("n"), F.explode("members").alias("member"))
     listed = materialize(listed, "listed")
     counts = materialize(listed.groupBy("member").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "counts")
     # A member of one document only meets nothing; it still takes its place in the order, before all others.
@@ -224,15 +231,19 @@ def classes(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col:
     firsts = rows.where("digest is not null and id is not null").groupBy("digest").agg(F.min(F.struct("id", "bands")).alias("f"))
     keys = materialize(firsts.select("digest", F.col("f.id").alias("first"), "f.bands"), "keys")
     members = keys.select(F.col("first").alias("id"), F.explode("bands").alias("key"))
-    ends = members.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.min_by("id", F.xxhash64("id")).alias("other"), F.count(F.lit(1)).alias("n"))
+    ends = members.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n"))
     hubs = materialize(ends.where("hub < last").drop("last"), "hubs")
     buckets = materialize(attach(members, hubs, "key", hubs.agg(F.sum("n")).first()[0] or 0).drop("n"), "buckets")
-    tried = materialize(_pairs(buckets.select(F.col("hub").alias("x"), F.col("id").alias("y")), buckets.select(F.col("other").alias("x"), F.col("id").alias("y"))), "pairs")
+    tried = materialize(_pairs(buckets.select(F.col("hub").alias("x"), F.col("id").alias("y"))), "pairs")
     sets = materialize(_sets(docs, buckets.select("id").distinct(), id_col, text_col, words), "sets")
     found = components(_confirmed(tried, sets, percent).unionByName(_repeated(rows, keys)))
-    opened = materialize(_open(buckets.select("key", "id"), found), "open")
-    if opened.count():
-        more = materialize(_confirmed(materialize(_pairs(_by_prefix(opened, sets, percent)), "pairs"), sets, percent), "links")
+    opened = buckets.select("key", "id")
+    for turn in range(2):
+        opened = materialize(_open(opened.select("key", "id"), found), "open")
+        if not (total := opened.count()):
+            break
+        pairs = _by_prefix(opened, sets, percent) if turn else _to_own_hubs(opened, total)
+        more = materialize(_confirmed(materialize(_pairs(pairs), "pairs"), sets, percent), "links")
         if more.count():
             found = components(found.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(more))
     named = keys.join(found.withColumnRenamed("id", "first"), "first", "left").select("digest", F.coalesce("component", "first").alias("component_id"))
