@@ -17,8 +17,8 @@ def hot(table: DataFrame, total: int, n: str = "n") -> DataFrame:
 def attach(rows: DataFrame, table: DataFrame, key: str, total: int, n: str = "n") -> DataFrame:
     """The inner join of ``rows`` and ``table`` on ``key``, without a task that gets all rows of a hot key.
 
-    ``table`` has one row for each key, ``n`` being at least the number of
-    ``rows`` that have it and ``total`` the sum of ``n``. The hot keys' rows of
+    ``table`` has one row for each key that many rows have, ``n`` being at least
+    the number of ``rows`` that have it and ``total`` the sum of ``n``. The hot keys' rows of
     the table, fewer than PARTS, are broadcast; all others are shuffled.
     """
     few = F.broadcast(hot(table, total, n))
