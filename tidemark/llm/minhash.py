@@ -146,12 +146,12 @@ def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, words: in
     return among(_texts(docs, id_col, text_col), ids).select("id", members("text").alias("members"))
 
 
-def _with_set(pairs: DataFrame, sets: DataFrame, end: str, other: str, total: int) -> DataFrame:
-    """``pairs`` with the set of_<end> of the document ``end``; the pairs of one that has many are cut in lots, for each of which its set is copied."""
+def _with_set(joined: DataFrame, pairs: DataFrame, sets: DataFrame, end: str, other: str, total: int) -> DataFrame:
+    """``joined``, the ``pairs`` with more columns, with the set of_<end> of the document ``end``; the pairs of one that has many are cut in lots, for each of which its set is copied."""
     per = pairs.groupBy(end).agg(F.count(F.lit(1)).alias("n"))
     lots = F.broadcast(hot(per, total).select(end, F.ceil(F.col("n") * PARTS / max(total, 1)).alias("lots")))
     own = F.coalesce("lots", F.lit(1))
-    dealt = pairs.join(lots, end, "left").withColumn("lot", F.pmod(F.xxhash64(other), own)).drop("lots")
+    dealt = joined.join(lots, end, "left").withColumn("lot", F.pmod(F.xxhash64(other), own)).drop("lots")
     copies = sets.select(F.col("id").alias(end), F.col("members").alias(f"of_{end}")).join(lots, end, "left")
     copies = copies.select(end, f"of_{end}", F.explode(F.sequence(F.lit(0).cast("long"), own - 1)).alias("lot"))
     return dealt.join(copies, [end, "lot"]).drop("lot")
@@ -160,7 +160,7 @@ def _with_set(pairs: DataFrame, sets: DataFrame, end: str, other: str, total: in
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of a table with 100 * intersection >= percent * union of their full sets."""
     total = pairs.count()
-    joined = _with_set(_with_set(pairs, sets, "b", "a", total), sets, "a", "b", total)
+    joined = _with_set(_with_set(pairs, pairs, sets, "b", "a", total), pairs, sets, "a", "b", total)
     n, m = F.size("of_a"), F.size("of_b")
     possible = 100 * F.least(n, m) >= percent * F.greatest(n, m)
     common = F.size(F.array_intersect("of_a", "of_b"))
@@ -179,7 +179,7 @@ def _open(buckets: DataFrame, found: DataFrame) -> DataFrame:
     """(key, id, component) of the buckets (key, id) whose members are of more than one component."""
     named = buckets.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     per = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"))
-    return attach(named, per.where("low < high").select("key", "n"), "key", buckets.count()).select("key", "id", "component")
+    return attach(named, per, "key", buckets.count()).where("low < high").select("key", "id", "component")
 
 
 def _to_own_hubs(opened: DataFrame, total: int) -> DataFrame:
