@@ -271,9 +271,10 @@ def test_scores_equal_the_formula(spark):
     """But for the filter's false positives, which the README's rates bound, each score is the formula's."""
     rows = [(i, " ".join(f"w{(i * k * k) % 61}" for k in range(1, 3 + i % 40))) for i in range(400)] + [(1000, ""), (1001, None), (1002, "unseen words")]
     got = scores(spark, rows)
-    off = [abs(got[i] - want) for (i, _), want in zip(rows, brute_scores(rows), strict=True)]
-    assert np.median(off) < 0.05 and np.mean(np.array(off) < 0.5) > 0.8
-    assert np.mean(np.array(off) < 1e-6) > 0.3
+    # About one n-gram in eight is read one level too high, which is a count of one more up to 8.
+    off = np.array([abs(got[i] - want) / (1 + len((t or "").split())) for (i, t), want in zip(rows, brute_scores(rows), strict=True)])
+    assert np.median(off) < 0.02 and off.max() < 0.2
+    assert (off < 1e-9).mean() > 0.1
 
 
 # URL filter
