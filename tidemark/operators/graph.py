@@ -7,27 +7,59 @@ costs one step. Loops end at a published bound or when nothing changes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.components import components
 from tidemark.scratch import materialize
 
+#: Hops along edges between two steps that are written.
+HOPS = 3
+
 
 def step(df: DataFrame) -> DataFrame:
     """Write one step of a loop to the shared folder and read it back."""
     return materialize(df, "graph")
 
 
-def closure(edges: DataFrame, depth: int, inclusive: bool = True) -> DataFrame:
-    """(source, target, hops) of everything reached in up to ``depth`` hops, at its least distance; a node reaches itself only through a cycle.
+def settle(values: DataFrame, links: DataFrame, passed: Callable[[Column], Column], best: Callable[[Column], Column]) -> DataFrame:
+    """(id, v) at rest: along each of ``links`` (a, b), b gets ``passed`` of a's value, and each node keeps the ``best`` (F.min or F.max) of what it has had.
 
-    With ``inclusive`` False, nodes at exactly ``depth`` hops are left out.
+    ``values``: id, v; nodes that get a value later are added. Each hop is one
+    join and one partially aggregated shuffle; the number of hops is that of
+    the longest stretch along which values improve.
     """
-    last = depth if inclusive else depth - 1
+    now = step(values.select("id", "v").groupBy("id").agg(best("v").alias("v")))
+    while True:
+        moving = now.select("id", "v", F.col("v").alias("old"))
+        for _ in range(HOPS):
+            sent = links.join(moving, F.col("a") == F.col("id")).select(F.col("b").alias("id"), passed(F.col("v")).alias("v"), F.lit(None).cast(moving.schema["v"].dataType).alias("old"))
+            moving = moving.unionByName(sent).groupBy("id").agg(best("v").alias("v"), F.max("old").alias("old"))
+        settled = step(moving.select("id", "v", (~F.col("v").eqNullSafe(F.col("old"))).alias("moved")))
+        now = settled.select("id", "v")
+        if not settled.agg(F.coalesce(F.bool_or("moved"), F.lit(False))).first()[0]:
+            return now
+
+
+def reachable(start: DataFrame, links: DataFrame) -> DataFrame:
+    """(id) of ``start`` (id) and all that it reaches along ``links`` (a, b)."""
+    return settle(start.select("id", F.lit(0).alias("v")), links, lambda v: v, F.min).select("id")
+
+
+def closure(edges: DataFrame, depth: int | None, inclusive: bool = True) -> DataFrame:
+    """(source, target, hops) of everything reached in up to ``depth`` hops (None: any number), at its least distance; a node reaches itself only through a cycle.
+
+    With ``inclusive`` False, nodes at exactly ``depth`` hops are left out. The
+    result has a row for each pair, so an unbounded depth is for small graphs.
+    """
+    last = depth if inclusive or depth is None else depth - 1
     links = edges.select("a", "b").distinct()
-    reached = step(links.select(F.col("a").alias("source"), F.col("b").alias("target"), F.lit(1).alias("hops")).where(F.lit(last >= 1)))
-    frontier = reached
-    for hops in range(2, last + 1):
+    reached = step(links.select(F.col("a").alias("source"), F.col("b").alias("target"), F.lit(1).alias("hops")).where(F.lit(last is None or last >= 1)))
+    frontier, hops = reached, 1
+    while last is None or hops < last:
+        hops += 1
         following = frontier.join(links, F.col("target") == F.col("a")).select("source", F.col("b").alias("target")).distinct()
         frontier = step(following.join(reached.select("source", "target"), ["source", "target"], "left_anti").withColumn("hops", F.lit(hops)))
         if frontier.isEmpty():
@@ -36,22 +68,6 @@ def closure(edges: DataFrame, depth: int, inclusive: bool = True) -> DataFrame:
     return reached
 
 
-def distances(edges: DataFrame) -> DataFrame:
-    """(source, target, hops) of everything reached in any number of hops, at its least distance.
-
-    Known stretches are joined end to end, so each step doubles the reach: a
-    chain of n calls takes log2(n) steps, not n.
-    """
-    known = step(edges.select(F.col("a").alias("source"), F.col("b").alias("target"), F.lit(1).alias("hops")).distinct())
-    size = None
-    while (now := known.agg(F.count(F.lit(1)), F.sum("hops")).first()) != size:
-        size = now
-        x, y = known.alias("x"), known.alias("y")
-        longer = x.join(y, F.col("x.target") == F.col("y.source")).select("x.source", "y.target", (F.col("x.hops") + F.col("y.hops")).alias("hops"))
-        known = step(known.unionByName(longer).groupBy("source", "target").agg(F.min("hops").alias("hops")))
-    return known
-
-
 def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
 
@@ -67,53 +83,101 @@ def entry_points(edges: DataFrame) -> DataFrame:
 
 def depth_from(entries: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, depth): least hops from any of ``entries`` (id), which have 0."""
-    links = edges.select("a", "b").distinct()
-    found = step(entries.select("id", F.lit(0).alias("depth")).distinct())
-    frontier, depth = found, 0
-    while not frontier.isEmpty():
-        depth += 1
-        following = frontier.join(links, F.col("id") == F.col("a")).select(F.col("b").alias("id")).distinct()
-        frontier = step(following.join(found, "id", "left_anti").withColumn("depth", F.lit(depth)))
-        found = found.unionByName(frontier)
-    return found
+    links = step(edges.select("a", "b").distinct())
+    return settle(entries.select("id", F.lit(0).alias("v")), links, lambda v: v + 1, F.min).withColumnRenamed("v", "depth")
 
 
-def blast_radius(edges: DataFrame) -> DataFrame:
-    """(id, radius): how many nodes reach a node, itself included."""
-    reaching = distances(reversed_edges(edges)).where("source <> target").groupBy(F.col("source").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    return nodes_of(edges).join(reaching, "id", "left").select("id", (F.coalesce("n", F.lit(0)) + 1).alias("radius"))
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(id, component): nodes that reach each other share the smallest id among them; every node is in one.
 
+    Forward colours and backward search (Orzan, 2004). Nodes that nothing calls
+    or that call nothing are alone and go first. Of the rest, each takes the
+    smallest id that reaches it as its colour; those of a colour that reach the
+    node of that id are its component. Edges of settled nodes and between
+    colours go, and so on until none is left. No pairs of nodes are made.
+    """
+    nodes = step(nodes_of(edges))
+    links = step(edges.where("a <> b").select("a", "b").distinct())
+    size, found = links.count(), None
+    while size:
+        inner = step(links.join(links.select(F.col("b").alias("a")), "a", "left_semi").join(links.select(F.col("a").alias("b")), "b", "left_semi").select("a", "b"))
+        left = inner.count()
+        links, size, shrunk = inner, left, left < 0.9 * size
+        if shrunk or not size:
+            continue
+        colours = settle(nodes_of(links).select("id", F.col("id").alias("v")), links, lambda v: v, F.min)
+        of = colours.withColumnRenamed("v", "colour")
+        own = step(links.join(of.select(F.col("id").alias("a"), F.col("colour").alias("ca")), "a").join(of.select(F.col("id").alias("b"), F.col("colour").alias("cb")), "b").where("ca = cb").select("a", "b"))
+        roots = of.where("id = colour").select("id", F.col("id").alias("v"))
+        reach = settle(roots, reversed_edges(own), lambda v: v, F.min)
+        settled = reach.select("id", F.col("v").alias("component"))
+        found = settled if found is None else found.unionByName(settled)
+        links = step(own.join(settled.select(F.col("id").alias("a")), "a", "left_anti").join(settled.select(F.col("id").alias("b")), "b", "left_anti"))
+        size = links.count()
+    if found is None:
+        return nodes.select("id", F.col("id").alias("component"))
+    return step(nodes.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component")))
+
+
+def condensed(edges: DataFrame, owner: DataFrame) -> DataFrame:
+    """(ca, cb), the links between components ``owner`` (id, component)."""
+    between = edges.select("a", "b").distinct().join(owner.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(owner.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
+    return step(between.where("ca <> cb").select("ca", "cb").distinct())
+
+
+def _ancestors(links: DataFrame) -> DataFrame:
+    """(c, above): all pairs along acyclic links (ca, cb); known stretches are joined end to end, so a chain of n takes log2(n) steps."""
+    known = step(links.select(F.col("cb").alias("c"), F.col("ca").alias("above")).distinct())
+    size = None
+    while (now := known.count()) != size:
+        size = now
+        further = known.alias("x").join(known.alias("y"), F.col("x.above") == F.col("y.c")).select("x.c", "y.above")
+        known = step(known.unionByName(further).distinct())
+    return known
 
-def cyclic(edges: DataFrame) -> DataFrame:
-    """(id, in_cycle, reaches_cycle): whether a node is on a cycle, and whether it is on or leads to one."""
-    reach = distances(edges)
-    on = reach.where("source = target").select(F.col("source").alias("id"))
-    leads = reach.join(on.withColumnRenamed("id", "target"), "target", "left_semi").select(F.col("source").alias("id")).distinct()
-    every = nodes_of(edges).join(on.distinct().withColumn("c", F.lit(True)), "id", "left").join(leads.withColumn("l", F.lit(True)), "id", "left")
-    return every.select("id", F.coalesce("c", F.lit(False)).alias("in_cycle"), F.coalesce("l", F.lit(False)).alias("reaches_cycle"))
 
+def blast_radius(edges: DataFrame) -> DataFrame:
+    """(id, radius): how many nodes reach a node, itself included; exact.
 
-def strong_components(edges: DataFrame) -> DataFrame:
-    """(id, component): nodes that reach each other share the smallest id among them; every node is in one."""
-    reach = distances(edges).select("source", "target")
-    both = reach.join(reach.select(F.col("target").alias("source"), F.col("source").alias("target")), ["source", "target"])
-    lowest = both.groupBy(F.col("source").alias("id")).agg(F.min("target").alias("m"))
-    return nodes_of(edges).join(lowest, "id", "left").select("id", F.least(F.col("id"), F.coalesce("m", "id")).alias("component"))
+    Components count as one node of their size. What the largest one reaches
+    has that one and all that leads to it above it, and only what else is above
+    is listed pair by pair; so are pairs among what it does not reach.
+    """
+    owner = step(strong_components(edges))
+    sizes = step(owner.groupBy(F.col("component").alias("c")).agg(F.count(F.lit(1)).alias("size")))
+    links = condensed(edges, owner)
+    core = sizes.orderBy(F.col("size").desc(), "c").limit(1).select(F.col("c").alias("id"))
+    flat = links.select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    core = step(core)
+    below = step(reachable(core, flat).select(F.col("id").alias("c")))
+    above = step(reachable(core, reversed_edges(flat)).select(F.col("id").alias("c")))
+    core_and_above = above.join(sizes, "c").agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    free = links.join(below.select(F.col("c").alias("cb")), "cb", "left_anti").select("ca", "cb")
+    beside = links.join(above.select(F.col("c").alias("ca")), "ca", "left_anti").join(above.select(F.col("c").alias("cb")), "cb", "left_anti").select("ca", "cb")
+    listed = _ancestors(free).unionByName(_ancestors(beside).join(below, "c", "left_semi"))
+    more = listed.join(sizes.withColumnRenamed("c", "above"), "above").groupBy("c").agg(F.sum("size").alias("more"))
+    marked = sizes.join(below.withColumn("under", F.lit(True)), "c", "left").join(core.select(F.col("id").alias("c"), F.lit(True).alias("is_core")), "c", "left").join(more, "c", "left")
+    own = F.when(F.col("is_core"), F.lit(core_and_above)).when(F.col("under"), F.col("size") + core_and_above).otherwise(F.col("size"))
+    radius = marked.select(F.col("c").alias("component"), (own + F.when(F.col("is_core"), F.lit(0)).otherwise(F.coalesce("more", F.lit(0)))).alias("radius"))
+    return owner.join(radius, "component").select("id", "radius")
+
+
+def cyclic(edges: DataFrame, owner: DataFrame | None = None) -> DataFrame:
+    """(id, in_cycle, reaches_cycle): whether a node is on a cycle, and whether it is on or leads to one. ``owner``: strong_components(), if known."""
+    owner = step(strong_components(edges)) if owner is None else owner
+    several = owner.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component")
+    on = step(owner.join(several, "component", "left_semi").select("id").unionByName(edges.where("a = b").select(F.col("a").alias("id"))).distinct())
+    leads = reachable(on, reversed_edges(step(edges.select("a", "b").distinct())))
+    every = owner.join(on.withColumn("c", F.lit(True)), "id", "left").join(leads.withColumn("l", F.lit(True)), "id", "left")
+    return every.select("id", F.coalesce("c", F.lit(False)).alias("in_cycle"), F.coalesce("l", F.lit(False)).alias("reaches_cycle"))
 
 
-def levels(edges: DataFrame) -> DataFrame:
-    """(id, level): a topological order by layers of the component graph: 0 for what calls nothing outside its cycle, else one more than its highest callee."""
-    owner = step(strong_components(edges))
-    between = edges.join(owner.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(owner.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
-    links = step(between.where("ca <> cb").select("ca", "cb").distinct())
-    known = step(owner.select(F.col("component").alias("c"), F.lit(0).alias("level")).distinct())
-    while True:
-        raised = links.join(known.withColumnRenamed("c", "cb"), "cb").groupBy(F.col("ca").alias("c")).agg((F.max("level") + 1).alias("raised"))
-        following = step(known.join(raised, "c", "left").select("c", F.greatest("level", F.coalesce("raised", F.lit(0))).alias("level"), (F.coalesce("raised", F.lit(0)) > F.col("level")).alias("moved")))
-        known = following.select("c", "level")
-        if following.where("moved").isEmpty():
-            break
-    return owner.join(known.withColumnRenamed("c", "component"), "component").select("id", "level")
+def levels(edges: DataFrame, owner: DataFrame | None = None) -> DataFrame:
+    """(id, level): a topological order by layers of the component graph: 0 for what calls nothing outside its cycle, else one more than its highest callee. ``owner``: strong_components(), if known."""
+    owner = step(strong_components(edges)) if owner is None else owner
+    links = condensed(edges, owner)
+    at = settle(owner.select(F.col("component").alias("id"), F.lit(0).alias("v")), links.select(F.col("cb").alias("a"), F.col("ca").alias("b")), lambda v: v + 1, F.max)
+    return owner.join(at.select(F.col("id").alias("component"), F.col("v").alias("level")), "component").select("id", "level")
 
 
 def layering_score(edges: DataFrame) -> DataFrame:
@@ -184,26 +248,58 @@ def propagated_risk(nodes: DataFrame, edges: DataFrame, rounds: int = 10, least:
 
 
 def betweenness(edges: DataFrame) -> DataFrame:
-    """(id, betweenness): share of the ordered pairs of other nodes of which some shortest path passes the node."""
-    d = distances(edges).where("source <> target")
-    n = nodes_of(edges).count()
-    x, y = d.alias("x"), d.alias("y")
-    via = x.join(y, F.col("x.target") == F.col("y.source")).where("x.source <> y.target").select(F.col("x.target").alias("id"), F.col("x.source").alias("source"), F.col("y.target").alias("target"), (F.col("x.hops") + F.col("y.hops")).alias("hops"))
-    passed = via.join(d, ["source", "target", "hops"]).groupBy("id").agg(F.count(F.lit(1)).alias("pairs"))
-    return nodes_of(edges).join(passed, "id", "left").select("id", (F.coalesce("pairs", F.lit(0)) / F.lit(float(max(1, (n - 1) * (n - 2))))).alias("betweenness"))
+    """(id, betweenness): share of the ordered pairs of other nodes of which some shortest path passes the node.
+
+    Shortest paths are walked back from their ends, one hop a step, so only
+    nodes that are on one are met: as many rows as there are such triples.
+    """
+    links = step(edges.select("a", "b").distinct())
+    d = step(closure(links, None).where("source <> target"))
+    n = nodes_of(links).count()
+    front, passed = d.select("source", "target", F.col("target").alias("id"), F.col("hops").alias("at")), None
+    near = d.select("source", F.col("target").alias("a"), F.col("hops").alias("before"))
+    while True:
+        back = front.join(links.select("a", F.col("b").alias("id")), "id").join(near, ["source", "a"]).where("before = at - 1")
+        front = step(back.select("source", "target", F.col("a").alias("id"), F.col("before").alias("at")).distinct())
+        if front.isEmpty():
+            break
+        met = front.groupBy("id").agg(F.count(F.lit(1)).alias("pairs"))
+        passed = met if passed is None else passed.unionByName(met)
+    pairs = passed.groupBy("id").agg(F.sum("pairs").alias("pairs")) if passed is not None else nodes_of(links).select("id", F.lit(0).cast("long").alias("pairs"))
+    return nodes_of(links).join(pairs, "id", "left").select("id", (F.coalesce("pairs", F.lit(0)) / F.lit(float(max(1, (n - 1) * (n - 2))))).alias("betweenness"))
 
 
 def clustering(edges: DataFrame, mutual: bool = False) -> DataFrame:
-    """(id, clustering): share of the ordered pairs of a node's callees that call each other (``mutual``: of the pairs, those that do both ways); 0 below two callees."""
-    links = edges.where("a <> b").distinct()
-    if mutual:
-        inner = links.join(reversed_edges(links), ["a", "b"]).where("a < b")
-    else:
-        inner = links
-    sizes = edges.distinct().groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    closed = edges.distinct().select(F.col("a").alias("id"), F.col("b").alias("x")).join(inner.select(F.col("a").alias("x"), F.col("b").alias("y")), "x").join(edges.distinct().select(F.col("a").alias("id"), F.col("b").alias("y")), ["id", "y"]).groupBy("id").agg(F.count(F.lit(1)).alias("closed"))
+    """(id, clustering): share of the ordered pairs of a node's callees that call each other (``mutual``: of the pairs, those that do both ways); 0 below two callees.
+
+    Triangles are found from their node of least degree (ties by id), so no
+    hub's pairs of neighbours are listed.
+    """
+    calls = step(edges.select("a", "b").distinct())
+    links = calls.where("a <> b")
+    sides = links.groupBy(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q")).agg(F.bool_or(F.col("a") < F.col("b")).alias("up"), F.bool_or(F.col("a") > F.col("b")).alias("down"))
+    degree = sides.select(F.explode(F.array("p", "q")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+    placed = sides.join(degree.select(F.col("id").alias("p"), F.col("degree").alias("dp")), "p").join(degree.select(F.col("id").alias("q"), F.col("degree").alias("dq")), "q")
+    first = (F.col("dp") < F.col("dq")) | ((F.col("dp") == F.col("dq")) & (F.col("p") < F.col("q")))
+    # u is the lower end in (degree, id); out and back say which of u -> v and v -> u there are.
+    ends = placed.select(F.when(first, F.col("p")).otherwise(F.col("q")).alias("u"), F.when(first, F.col("q")).otherwise(F.col("p")).alias("v"), F.when(first, F.col("dq")).otherwise(F.col("dp")).alias("dv"), F.when(first, F.col("up")).otherwise(F.col("down")).alias("out"), F.when(first, F.col("down")).otherwise(F.col("up")).alias("back"))
+    ends = step(ends)
+    x, y, z = ends.alias("x"), ends.alias("y"), ends.alias("z")
+    later = (F.col("x.dv") < F.col("y.dv")) | ((F.col("x.dv") == F.col("y.dv")) & (F.col("x.v") < F.col("y.v")))
+    closed = x.join(y, (F.col("x.u") == F.col("y.u")) & later).join(z, (F.col("z.u") == F.col("x.v")) & (F.col("z.v") == F.col("y.v")))
+    # Of each corner: whether it calls both others, and how many of the calls between those there are.
+    def corner(of: str, calls_one: Column, calls_other: Column, between: list[Column]) -> Column:
+        both_ways = F.when(between[0] & between[1], 1).otherwise(0) if mutual else between[0].cast("int") + between[1].cast("int")
+        return F.struct(F.col(of).alias("id"), F.when(calls_one & calls_other, both_ways).otherwise(0).alias("n"))
+
+    c = F.col
+    corners = F.array(
+        corner("x.u", c("x.out"), c("y.out"), [c("z.out"), c("z.back")]), corner("x.v", c("x.back"), c("z.out"), [c("y.out"), c("y.back")]), corner("y.v", c("y.back"), c("z.back"), [c("x.out"), c("x.back")])
+    )
+    counted = closed.select(F.explode(corners).alias("k")).groupBy(F.col("k.id").alias("id")).agg(F.sum("k.n").alias("closed"))
+    sizes = calls.groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("n"))
     possible = F.col("n") * (F.col("n") - 1) / (2 if mutual else 1)
-    return nodes_of(edges).join(sizes, "id", "left").join(closed, "id", "left").select("id", F.when(F.col("n") >= 2, F.coalesce("closed", F.lit(0)) / possible).otherwise(0.0).alias("clustering"))
+    return nodes_of(calls).join(sizes, "id", "left").join(counted, "id", "left").select("id", F.when(F.col("n") >= 2, F.coalesce("closed", F.lit(0)) / possible).otherwise(0.0).alias("clustering"))
 
 
 def propagated_purity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -213,7 +309,8 @@ def propagated_purity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     impure = nodes.where("not is_pure").select("id")
     spoiled = depth_from(impure, reversed_edges(edges)).select("id", F.lit(True).alias("spoiled"))
-    at, loops = levels(edges), cyclic(edges)
+    owner = step(strong_components(edges))
+    at, loops = levels(edges, owner), cyclic(edges, owner)
     joined = nodes.join(spoiled, "id", "left").join(at, "id", "left").join(loops.select("id", "reaches_cycle"), "id", "left")
     pure = F.col("is_pure") & F.col("spoiled").isNull()
     depth = F.coalesce("level", F.lit(0))
@@ -263,31 +360,37 @@ def reaching_definitions(blocks: DataFrame, flow: DataFrame) -> DataFrame:
 
     ``blocks``: block, variable, definition (its last one); ``flow``: a, b.
     """
-    out = step(blocks.select("block", "variable", "definition"))
-    kills = blocks.select("block", "variable").distinct()
+    kills = step(blocks.select("block", "variable").distinct())
+    fresh, into = step(blocks.select("block", "variable", "definition").distinct()), None
     while True:
-        into = flow.join(out.withColumnRenamed("block", "a"), "a").select(F.col("b").alias("block"), "variable", "definition").distinct()
-        through = into.join(kills, ["block", "variable"], "left_anti")
-        grown = step(out.unionByName(through).distinct())
-        if grown.count() == out.count():
-            return into
-        out = grown
-    return into
+        arrived = flow.join(fresh.withColumnRenamed("block", "a"), "a").select(F.col("b").alias("block"), "variable", "definition").distinct()
+        fresh_in = step(arrived if into is None else arrived.join(into, ["block", "variable", "definition"], "left_anti"))
+        if fresh_in.isEmpty():
+            return fresh_in if into is None else into
+        into = fresh_in if into is None else into.unionByName(fresh_in)
+        # Only what has newly arrived is passed on.
+        fresh = step(fresh_in.join(kills, ["block", "variable"], "left_anti"))
 
 
 def similar_callers(edges: DataFrame, least: float) -> DataFrame:
-    """(x, y, similarity), x < y: nodes whose sets of callees overlap by at least ``least`` (Jaccard); only nodes with a callee in common meet."""
-    calls = edges.select("a", "b").distinct()
+    """(x, y, similarity), x < y: nodes whose sets of callees overlap by at least ``least`` (Jaccard).
+
+    Nodes meet only at their rarest callees: of n callees, n - ceil(least * n)
+    + 1 are enough to find every pair (the prefix filter).
+    """
+    calls = step(edges.select("a", "b").distinct())
+    rarity = calls.groupBy("b").agg(F.count(F.lit(1)).alias("callers"))
     sizes = calls.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    sized = calls.join(sizes, "a")
-    x, y = sized.alias("x"), sized.alias("y")
-    met = x.join(y, (F.col("x.b") == F.col("y.b")) & (F.col("x.a") < F.col("y.a")))
-    common = met.groupBy(F.col("x.a").alias("x"), F.col("y.a").alias("y")).agg(F.count(F.lit(1)).alias("k"), F.first("x.n").alias("nx"), F.first("y.n").alias("ny"))
+    placed = calls.join(rarity, "b").join(sizes, "a").withColumn("at", F.row_number().over(Window.partitionBy("a").orderBy("callers", "b")))
+    first = step(placed.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1).select("a", "b", "n"))
+    x, y = first.alias("x"), first.alias("y")
+    near = (F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * F.lit(least) - 1e-9) & (F.col("x.a") < F.col("y.a"))
+    met = x.join(y, (F.col("x.b") == F.col("y.b")) & near).select(F.col("x.a").alias("x"), F.col("y.a").alias("y"), F.col("x.n").alias("nx"), F.col("y.n").alias("ny")).distinct()
+    common = met.join(calls.select(F.col("a").alias("x"), "b"), "x").join(calls.select(F.col("a").alias("y"), "b"), ["y", "b"]).groupBy("x", "y", "nx", "ny").agg(F.count(F.lit(1)).alias("k"))
     return common.withColumn("similarity", F.col("k") / (F.col("nx") + F.col("ny") - F.col("k"))).where(F.col("similarity") >= least).select("x", "y", "similarity")
 
 
 def linked_clusters(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, cluster) by single linkage: nodes (id) joined by a chain of pairs (x, y) share the smallest id; others are alone."""
-    both = pairs.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(pairs.select(F.col("y").alias("a"), F.col("x").alias("b")))
-    found = strong_components(both).withColumnRenamed("component", "cluster")
+    found = components(pairs.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("component", "cluster")
     return nodes.join(found, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))

@@ -6,17 +6,24 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import graph as G
 from tidemark.plans.registry import register
-from tidemark.plans.stand_ins import EDGES_SQL, edges
+from tidemark.plans.stand_ins import DENSE_SQL, EDGES_SQL, dense_edges, edges
 
 c = F.col
+DENSE_NODES_SQL = f"{DENSE_SQL}, nodes AS (SELECT a AS id FROM edges UNION SELECT b FROM edges)"
 NODES_SQL = f"{EDGES_SQL}, nodes AS (SELECT a AS id FROM edges UNION SELECT b FROM edges)"
-#: All least distances: the graph has about 100 nodes, and a breadth-first search of UNION rows ends by itself when they are bounded by depth.
 REACH_SQL = """reach AS (SELECT source, target, min(hops) AS hops FROM walk GROUP BY ALL)"""
+#: All pairs of nodes of which one reaches the other.
+PAIRS_SQL = f"WITH RECURSIVE {NODES_SQL}, reach AS (SELECT a AS source, b AS target FROM edges UNION SELECT source, b FROM reach JOIN edges ON target = a)"
+#: On top of PAIRS_SQL: each node's component, and its layer among them.
+LEVELS_SQL = """own AS (SELECT n.id, least(n.id, coalesce(min(x.target), n.id)) AS component FROM nodes n LEFT JOIN (SELECT p.source, p.target FROM reach p JOIN reach q ON p.source = q.target AND p.target = q.source) x ON x.source = n.id GROUP BY n.id),
+between AS (SELECT DISTINCT x.component AS ca, y.component AS cb FROM edges JOIN own x ON x.id = a JOIN own y ON y.id = b WHERE x.component <> y.component),
+climb AS (SELECT DISTINCT component AS c, 0 AS level FROM own UNION SELECT ca, level + 1 FROM climb JOIN between ON cb = c),
+levels AS (SELECT id, max(level) AS level FROM own JOIN climb ON c = component GROUP BY id)"""
 
 
-def _walk(depth: int) -> str:
+def _walk(depth: int, nodes: str = NODES_SQL) -> str:
     """Recursive walks without repeats of (source, target, hops)."""
-    return f"WITH RECURSIVE {NODES_SQL}, walk AS (SELECT a AS source, b AS target, 1 AS hops FROM edges UNION SELECT source, b, hops + 1 FROM walk JOIN edges ON target = a WHERE hops < {depth}), {REACH_SQL}"
+    return f"WITH RECURSIVE {nodes}, walk AS (SELECT a AS source, b AS target, 1 AS hops FROM edges UNION SELECT source, b, hops + 1 FROM walk JOIN edges ON target = a WHERE hops < {depth}), {REACH_SQL}"
 
 
 @register("closure_inclusive", f"{_walk(3)} SELECT source, target, hops FROM reach")
@@ -29,7 +36,7 @@ def closure_exclusive(spark, sf_dir):
     return G.closure(edges(spark, sf_dir), 3, inclusive=False)
 
 
-@register("blast_radius", f"{_walk(60)} SELECT n.id, count(r.source) + 1 AS radius FROM nodes n LEFT JOIN reach r ON r.target = n.id AND r.source <> n.id GROUP BY n.id")
+@register("blast_radius", f"{PAIRS_SQL} SELECT n.id, count(r.source) + 1 AS radius FROM nodes n LEFT JOIN reach r ON r.target = n.id AND r.source <> n.id GROUP BY n.id")
 def blast_radius(spark, sf_dir):
     return G.blast_radius(edges(spark, sf_dir))
 
@@ -43,12 +50,12 @@ def depth_from_entries(spark, sf_dir):
     return G.depth_from(G.nodes_of(calls).where("id % 10 = 1"), calls)
 
 
-@register("cycles", f"{_walk(60)}, on_it AS (SELECT source AS id FROM reach WHERE source = target) SELECT id, id IN (SELECT id FROM on_it) AS in_cycle, id IN (SELECT source FROM reach WHERE target IN (SELECT id FROM on_it)) AS reaches_cycle FROM nodes")
+@register("cycles", f"{PAIRS_SQL}, on_it AS (SELECT source AS id FROM reach WHERE source = target) SELECT id, id IN (SELECT id FROM on_it) AS in_cycle, id IN (SELECT source FROM reach WHERE target IN (SELECT id FROM on_it)) AS reaches_cycle FROM nodes")
 def cycles(spark, sf_dir):
     return G.cyclic(edges(spark, sf_dir))
 
 
-@register("strong_components", f"{_walk(60)} SELECT n.id, least(n.id, coalesce(min(x.target), n.id)) AS component FROM nodes n LEFT JOIN (SELECT p.source, p.target FROM reach p JOIN reach q ON p.source = q.target AND p.target = q.source) x ON x.source = n.id GROUP BY n.id")
+@register("strong_components", f"{PAIRS_SQL}, {LEVELS_SQL} SELECT id, component FROM own")
 def strong_components(spark, sf_dir):
     return G.strong_components(edges(spark, sf_dir))
 
@@ -103,9 +110,9 @@ def propagated_risk(spark, sf_dir):
     return G.propagated_risk(nodes, calls.withColumn("coupling", F.lit(0.5))).select("id", F.round("risk", 6).alias("risk"))
 
 
-@register("betweenness", f"{_walk(60)}, d AS (SELECT * FROM reach WHERE source <> target), n AS (SELECT count(*) AS n FROM nodes), p AS (SELECT x.target AS id, count(*) AS pairs FROM d x JOIN d y ON x.target = y.source AND x.source <> y.target JOIN d z ON z.source = x.source AND z.target = y.target AND z.hops = x.hops + y.hops GROUP BY 1) SELECT id, round(coalesce(pairs, 0) * 1.0 / ((n - 1) * (n - 2)), 6) AS betweenness FROM nodes LEFT JOIN p USING (id), n")
+@register("betweenness", f"{_walk(20, DENSE_NODES_SQL)}, d AS (SELECT * FROM reach WHERE source <> target), n AS (SELECT count(*) AS n FROM nodes), p AS (SELECT x.target AS id, count(*) AS pairs FROM d x JOIN d y ON x.target = y.source AND x.source <> y.target JOIN d z ON z.source = x.source AND z.target = y.target AND z.hops = x.hops + y.hops GROUP BY 1) SELECT id, round(coalesce(pairs, 0) * 1.0 / ((n - 1) * (n - 2)), 6) AS betweenness FROM nodes LEFT JOIN p USING (id), n")
 def betweenness(spark, sf_dir):
-    return G.betweenness(edges(spark, sf_dir)).select("id", F.round("betweenness", 6).alias("betweenness"))
+    return G.betweenness(dense_edges(spark, sf_dir)).select("id", F.round("betweenness", 6).alias("betweenness"))
 
 
 @register("clustering", f"""WITH {NODES_SQL}, k AS (SELECT a AS id, count(*) AS n FROM edges GROUP BY a), t AS (SELECT x.a AS id, count(*) AS closed FROM edges x JOIN edges y ON x.a = y.a AND x.b <> y.b JOIN edges z ON z.a = x.b AND z.b = y.b GROUP BY x.a),
@@ -133,12 +140,14 @@ def acyclic_levels(spark, sf_dir):
     return G.levels(edges(spark, sf_dir).where("a > b"))
 
 
-@register("layering")
+@register("layering", f"""{PAIRS_SQL}, {LEVELS_SQL}, k AS (SELECT count(*) FILTER (WHERE x.level > y.level) AS forward, count(*) FILTER (WHERE x.level <= y.level) AS backward FROM edges JOIN levels x ON x.id = a JOIN levels y ON y.id = b)
+SELECT round(CASE WHEN forward + backward = 0 THEN 1.0 ELSE forward * 1.0 / (forward + backward) END, 6) AS score, forward, backward FROM k""")
 def layering(spark, sf_dir):
     return G.layering_score(edges(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
-@register("propagated_purity")
+@register("propagated_purity", f"""{PAIRS_SQL}, {LEVELS_SQL}, bad AS (SELECT id FROM nodes WHERE id % 11 = 0 UNION SELECT source FROM reach WHERE target % 11 = 0), round AS (SELECT source AS id FROM reach WHERE source = target), loops AS (SELECT id FROM round UNION SELECT source FROM reach WHERE target IN (SELECT id FROM round))
+SELECT id, id NOT IN (SELECT id FROM bad) AS is_pure, round(CASE WHEN id IN (SELECT id FROM bad) THEN 0.9 WHEN id IN (SELECT id FROM loops) THEN 0.9 * 0.7 WHEN level > 0 THEN least(greatest(0.9 * pow(0.9, level), 0.5), 1.0) ELSE 0.9 END, 6) AS confidence FROM levels""")
 def propagated_purity(spark, sf_dir):
     calls = edges(spark, sf_dir)
     nodes = G.nodes_of(calls).select("id", (c("id") % 11 != 0).alias("is_pure"), F.lit(0.9).alias("confidence"))
@@ -150,7 +159,8 @@ def communities(spark, sf_dir):
     return G.communities(edges(spark, sf_dir))
 
 
-@register("reaching_definitions")
+@register("reaching_definitions", f"""WITH RECURSIVE {NODES_SQL}, into_block AS (SELECT b AS block, a % 3 AS variable, a AS definition FROM edges UNION SELECT b, variable, definition FROM into_block JOIN edges ON block = a WHERE a % 3 <> variable)
+SELECT block, variable, definition FROM into_block""")
 def reaching_definitions(spark, sf_dir):
     calls = edges(spark, sf_dir)
     blocks = G.nodes_of(calls).select(c("id").alias("block"), (c("id") % 3).alias("variable"), c("id").alias("definition"))

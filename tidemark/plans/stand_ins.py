@@ -54,21 +54,28 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ITEMS_SQL = f"items AS (SELECT {ITEM_COLUMNS} FROM orders)"
 
-#: Sparse call graph: the first 200 sign-ups in order, each user calling the next.
+#: Sparse call graph of all sign-ups: each calls the next of its day. A node is a user in one of eight modules.
 EDGES_SQL = """
 edges AS (
   SELECT DISTINCT a, b FROM (
-    SELECT user_id AS a, lead(user_id) OVER (ORDER BY ts, event_id) AS b
-    FROM (SELECT * FROM events WHERE event_type = 'signup' ORDER BY ts, event_id LIMIT 200)
+    SELECT user_id * 8 + event_id % 8 AS a, lead(user_id * 8 + event_id % 8) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS b
+    FROM events WHERE event_type = 'signup'
   ) WHERE b IS NOT NULL AND a <> b
 )
 """
+#: The same with users as nodes: few nodes, many edges.
+DENSE_SQL = EDGES_SQL.replace("user_id * 8 + event_id % 8", "user_id")
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def edges(spark: SparkSession, sf_dir: str, sql: str = EDGES_SQL) -> DataFrame:
     """(a, b): a calls b."""
     table(spark, sf_dir, "events").createOrReplaceTempView("tidemark_events")
-    return spark.sql(f"WITH {EDGES_SQL.replace('FROM events', 'FROM tidemark_events')} SELECT a, b FROM edges")
+    return spark.sql(f"WITH {sql.replace('FROM events', 'FROM tidemark_events')} SELECT a, b FROM edges")
+
+
+def dense_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(a, b): users; for what costs as much as there are pairs of nodes."""
+    return edges(spark, sf_dir, DENSE_SQL)
 
 
 def columns_of(text: str) -> list[str]:
