@@ -108,11 +108,15 @@ def in_ranges(points: DataFrame, ranges: DataFrame, key: list[str], at: str, sta
 
 
 def resolve_calls(calls: DataFrame, definitions: DataFrame, stop_names: list[str]) -> DataFrame:
-    """(call, definition): each call's definition by name, its own file's first, then the lowest key; calls of stop names and unknown names have none."""
-    known = definitions.select("name", F.col("file").alias("__file"), "definition")
-    hits = calls.where(~F.col("name").isin(*stop_names)).join(known, "name")
-    best = hits.groupBy("call").agg(F.min_by("definition", F.struct((F.col("file") != F.col("__file")).alias("other"), "definition")).alias("definition"))
-    return calls.select("call").join(best, "call", "left")
+    """(call, definition): each call's definition by name, its own file's first, then the lowest key; calls of stop names and unknown names have none.
+
+    Definitions are reduced to the lowest of each name and file and of each
+    name before calls meet them, so a call has two matches at most.
+    """
+    known = definitions.where(~F.col("name").isin(*stop_names))
+    own = known.groupBy("name", "file").agg(F.min("definition").alias("own"))
+    any_file = known.groupBy("name").agg(F.min("definition").alias("any"))
+    return calls.join(own, ["name", "file"], "left").join(any_file, "name", "left").select("call", F.coalesce("own", "any").alias("definition"))
 
 
 def neighbours(edges: DataFrame) -> DataFrame:
@@ -128,6 +132,8 @@ def mutual_pairs(edges: DataFrame) -> DataFrame:
     return edges.where("a < b").join(edges.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_semi").distinct()
 
 
-def data_clumps(functions: DataFrame, least: int = 30) -> DataFrame:
-    """(file, n): findings for functions of one file that are longer than ``least``: each one but the last finds its first partner."""
-    return functions.where(F.col("length") > least).groupBy("file").agg((F.count(F.lit(1)) - 1).alias("n")).where("n > 0")
+def data_clumps(functions: DataFrame, order: list[str], least: int = 30) -> DataFrame:
+    """(file, order..., partner_<order>...): of the functions of one file that are longer than ``least``, each but the last with the next one."""
+    following = Window.partitionBy("file").orderBy(*order)
+    paired = functions.where(F.col("length") > least).select("file", *order, *(F.lead(x).over(following).alias(f"partner_{x}") for x in order))
+    return paired.where(F.col(f"partner_{order[0]}").isNotNull())

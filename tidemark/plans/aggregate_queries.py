@@ -193,10 +193,10 @@ def god_transitions(spark, sf_dir):
     return W.transitions(items(spark, sf_dir), "file", ["item"], c("score") > 30).select("file", "item", "transition")
 
 
-@register("merged_coverage", """WITH r AS (SELECT l_partkey AS fn, l_tax * 1000 AS pct, [l_linenumber, CAST(l_quantity % 7 AS INT), 3] AS lines FROM lineitem WHERE l_partkey % 10 = 0), n AS (SELECT fn, count(*) AS n, avg(pct) AS percent FROM r GROUP BY fn),
+@register("merged_coverage", """WITH r AS (SELECT l_partkey AS fn, l_tax * 1000 AS pct, [l_linenumber, CAST(l_quantity % 7 AS INT), 3] AS lines FROM lineitem), n AS (SELECT fn, count(*) AS n, avg(pct) AS percent FROM r GROUP BY fn),
 u AS (SELECT fn, line, count(*) AS hits FROM (SELECT fn, unnest(list_distinct(lines)) AS line FROM r) GROUP BY fn, line) SELECT fn, round(any_value(percent), 6) AS percent, coalesce(string_agg(CASE WHEN hits = n THEN line::VARCHAR END, ',' ORDER BY line), '') AS uncovered FROM n LEFT JOIN u USING (fn) GROUP BY fn""")
 def merged_coverage(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").where("l_partkey % 10 = 0").select(c("l_partkey").alias("fn"), (c("l_tax") * 1000).alias("pct"), F.array("l_linenumber", (c("l_quantity") % 7).cast("int"), F.lit(3)).alias("lines"))
+    rows = table(spark, sf_dir, "lineitem").select(c("l_partkey").alias("fn"), (c("l_tax") * 1000).alias("pct"), F.array("l_linenumber", (c("l_quantity") % 7).cast("int"), F.lit(3)).alias("lines"))
     return A.merged_coverage(rows, ["fn"], "pct", "lines").select("fn", F.round("percent", 6).alias("percent"), F.array_join("uncovered", ",").alias("uncovered"))
 
 

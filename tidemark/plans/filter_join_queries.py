@@ -138,13 +138,13 @@ def lookup_ladder(spark, sf_dir):
 
 
 @register("suffix_paths", r"""WITH p AS (SELECT DISTINCT regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '') AS path0 FROM pages), pp AS (SELECT rtrim(path0, '/') AS k, path0 AS path FROM p),
-q AS (SELECT DISTINCT regexp_extract(rtrim(regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', ''), '/'), '[^/]+/[^/]+$') AS query FROM pages WHERE page_id % 5 = 0),
+q AS (SELECT DISTINCT regexp_extract(rtrim(regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', ''), '/'), '[^/]+/[^/]+$') AS query FROM pages),
 h AS (SELECT query, path, CASE WHEN k = query THEN 0 ELSE 1 END AS r FROM q JOIN pp ON k = query OR ends_with(k, '/' || query))
 SELECT query, min_by(path, (r, path)) AS path, CASE min(r) WHEN 0 THEN 'exact' ELSE 'query suffix' END AS strategy FROM h GROUP BY query""")
 def suffix_paths(spark, sf_dir):
     path = F.regexp_replace(F.regexp_replace("url", "^https?://", ""), "[?#].*$", "")
     pages = table(spark, sf_dir, "pages")
-    queries = pages.where("page_id % 5 = 0").select(F.regexp_extract(F.rtrim(path, F.lit("/")), "[^/]+/[^/]+$", 0).alias("query")).distinct()
+    queries = pages.select(F.regexp_extract(F.rtrim(path, F.lit("/")), "[^/]+/[^/]+$", 0).alias("query")).distinct()
     return J.suffix_match(queries, pages.select(path.alias("path")).distinct())
 
 
@@ -157,13 +157,13 @@ def range_join(spark, sf_dir):
     return J.in_ranges(points, ranges, ["path"], "line", "first", "last").where("author <> 'view'").groupBy("path", "first", "last").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("author").alias("authors"))
 
 
-@register("call_resolution", """WITH k AS (SELECT event_id AS call, user_id AS file, event_type || '_' || (event_id % 40) AS name FROM events WHERE event_id % 3 = 0),
-d AS (SELECT event_id AS definition, user_id AS file, event_type || '_' || (event_id % 40) AS name FROM events WHERE event_id % 3 = 1)
+@register("call_resolution", """WITH k AS (SELECT event_id AS call, user_id AS file, event_type || '_' || (event_id % 40) AS name FROM events WHERE event_id % 2 = 0),
+d AS (SELECT event_id AS definition, user_id AS file, event_type || '_' || (event_id % 40) AS name FROM events WHERE event_id % 2 = 1)
 SELECT k.call, h.definition FROM k LEFT JOIN (SELECT call, min_by(definition, (k.file <> d.file, definition)) AS definition FROM k JOIN d USING (name) WHERE name NOT IN ('view_1', 'click_2') GROUP BY call) h USING (call)""")
 def call_resolution(spark, sf_dir):
     named = table(spark, sf_dir, "events").select("event_id", c("user_id").alias("file"), F.concat_ws("_", "event_type", c("event_id") % 40).alias("name"))
-    calls = named.where("event_id % 3 = 0").withColumnRenamed("event_id", "call")
-    definitions = named.where("event_id % 3 = 1").withColumnRenamed("event_id", "definition")
+    calls = named.where("event_id % 2 = 0").withColumnRenamed("event_id", "call")
+    definitions = named.where("event_id % 2 = 1").withColumnRenamed("event_id", "definition")
     return J.resolve_calls(calls, definitions, ["view_1", "click_2"])
 
 
@@ -179,9 +179,11 @@ def mutual_dependencies(spark, sf_dir):
     return J.mutual_pairs(edges(spark, sf_dir))
 
 
-@register("data_clumps", f"WITH {FUNCTIONS_SQL} SELECT file, count(*) - 1 AS n FROM fns WHERE length > 30 GROUP BY file HAVING count(*) > 1")
+@register("data_clumps", f"""WITH {FUNCTIONS_SQL}, k AS (SELECT file, fn, line, lead(fn) OVER w AS partner, lead(line) OVER w AS partner_line FROM fns WHERE length > 30 WINDOW w AS (PARTITION BY file ORDER BY fn, line))
+SELECT file, fn, line, partner, partner_line FROM k WHERE partner IS NOT NULL""")
 def data_clumps(spark, sf_dir):
-    return J.data_clumps(functions(spark, sf_dir))
+    return J.data_clumps(functions(spark, sf_dir), ["fn", "line"]).select("file", "fn", "line", c("partner_fn").alias("partner"), "partner_line")
+
 
 
 @register("coverage_boundaries", """WITH e AS (SELECT user_id, ts, event_id, value, CASE WHEN event_type = 'signup' THEN event_id END AS start FROM events),

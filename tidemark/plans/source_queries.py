@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import marker_priority
 from tidemark.operators import detectors as D
 from tidemark.plans.registry import register, table
 from tidemark.scratch import shared_dir
@@ -19,12 +20,12 @@ def _folder(spark, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-LCOV_ROWS = "SELECT l_partkey AS file, l_orderkey % 4 AS fn, l_linenumber AS line, CAST(max(CASE WHEN l_quantity > 25 THEN 3 ELSE 0 END) AS BIGINT) AS hits FROM lineitem WHERE l_partkey <= 100 GROUP BY ALL"
+LCOV_ROWS = "SELECT l_partkey AS file, l_orderkey % 4 AS fn, l_linenumber AS line, CAST(max(CASE WHEN l_quantity > 25 THEN 3 ELSE 0 END) AS BIGINT) AS hits FROM lineitem GROUP BY ALL"
 
 
 def _lcov(spark, sf_dir):
     """The stand-in as LCOV text, written and read back: four functions to a file, function f at line 10 f, its lines after it."""
-    rows = table(spark, sf_dir, "lineitem").where("l_partkey <= 100").groupBy(c("l_partkey").alias("file"), (c("l_orderkey") % 4).alias("fn"), c("l_linenumber").alias("line")).agg(F.max(F.when(c("l_quantity") > 25, 3).otherwise(0)).alias("hits"))
+    rows = table(spark, sf_dir, "lineitem").groupBy(c("l_partkey").alias("file"), (c("l_orderkey") % 4).alias("fn"), c("l_linenumber").alias("line")).agg(F.max(F.when(c("l_quantity") > 25, 3).otherwise(0)).alias("hits"))
     at = c("fn") * 10 + c("line")
     da = F.concat_ws("\n", F.sort_array(F.collect_list(F.concat(F.lit("DA:"), at.cast("string"), F.lit(","), c("hits").cast("string")))))
     fns = F.concat_ws("\n", *(F.lit(f"FN:{10 * i},f{i}\nFNDA:{i},f{i}") for i in range(4)))
@@ -47,6 +48,7 @@ def lcov_totals(spark, sf_dir):
     return lcov.overall(records).crossJoin(F.broadcast(lcov.diagnosis(records))).select(F.round("percent", 6).alias("percent"), "files", "lines", "unhit")
 
 
+#: Snippets of code, since the driver's tables hold none; findings of lines are taken from all documents as well.
 SOURCES = [
     ("a.py", "Python", "import os\n\ndef load(path, a, b, c, d, e):\n    try:\n        return open(path).read()\n    except OSError:\n        pass\n\ndef test_load():\n    load('x', 1, 2, 3, 4, 5)\n"),
     ("b.py", "Python", "def broken(:\n"),
@@ -61,8 +63,27 @@ def _sources(spark):
     return spark.createDataFrame(SOURCES, "path string, language string, text string")
 
 
-@register("line_findings")
+#: Stand-ins for languages: a document is taken for a file of one of them.
+LANGUAGE_OF = "CASE doc_id % 6 WHEN 0 THEN 'Rust' WHEN 1 THEN 'TypeScript' WHEN 2 THEN 'JavaScript' WHEN 3 THEN 'Go' WHEN 4 THEN 'Solidity' ELSE 'Python' END"
+
+
+def _line_sql() -> str:
+    """Every pattern as a branch; look-aheads, which this SQL lacks, are written out."""
+    plain = {r"\bas\s+(?!const\b)[A-Z]\w*": r"\bas\s+[A-Z]\w*"}
+    parts = [f"SELECT path, line, '{kind}' AS kind, '{priority}' AS priority FROM l WHERE language = '{language}' AND regexp_matches(txt, '{plain.get(pattern, pattern)}')" for language, kind, priority, pattern in D.LINE_PATTERNS]
+    parts += [f"SELECT path, line, '{kind}', '{priority}' FROM l WHERE regexp_matches(txt, '{pattern}')" for kind, priority, pattern in D.MARKERS]
+    return " UNION ALL ".join(parts)
+
+
+@register("line_findings", f"""WITH s AS (SELECT doc_id::VARCHAR AS path, {LANGUAGE_OF} AS language, text FROM documents),
+l AS (SELECT path, language, unnest(string_split(text, chr(10))) AS txt, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM s) {_line_sql()}""")
 def line_findings(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents").selectExpr("CAST(doc_id AS STRING) AS path", f"{LANGUAGE_OF} AS language", "text")
+    return D.line_findings(documents).withColumn("line", c("line").cast("long"))
+
+
+@register("code_findings")
+def code_findings(spark, sf_dir):
     return D.line_findings(_sources(spark))
 
 
@@ -76,6 +97,14 @@ def metric_findings(spark, sf_dir):
     return D.metric_findings(D.python_functions(_sources(spark)))
 
 
+@register("todo_markers", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS txt, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)
+SELECT doc_id::VARCHAR AS path, line, CASE WHEN regexp_matches(txt, '\\bFIXME\\b') THEN 'High' ELSE 'Medium' END AS priority FROM l WHERE regexp_matches(txt, '\\b(FIXME|HACK|TODO)\\b')""")
+def todo_markers(spark, sf_dir):
+    lines = table(spark, sf_dir, "documents").select(c("doc_id").cast("string").alias("path"), F.posexplode(F.split("text", "\n")).alias("at", "txt"))
+    priority = marker_priority(c("txt"), {pattern: priority for _, priority, pattern in D.MARKERS})
+    return lines.select("path", (c("at") + 1).cast("long").alias("line"), priority.alias("priority")).where("priority is not null")
+
+
 @register("marker_findings", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS txt, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)
 SELECT doc_id::VARCHAR AS path, line, 'license' AS kind FROM l WHERE regexp_matches(txt, 'icensed?|opyright')""")
 def marker_findings(spark, sf_dir):

@@ -35,10 +35,25 @@ def not_ignored(path: Column, rules: list[tuple[bool, str]]) -> Column:
     return F.lit(True) if verdict is None else verdict.otherwise(F.lit(True))
 
 
-def read_sources(spark: SparkSession, root: str, languages: list[str] | None = None, ignore: list[str] = (), gitignore: list[str] = ()) -> DataFrame:
+def root_gitignore(spark: SparkSession, root: str) -> list[str]:
+    """The lines of ``root``/.gitignore, on any store that Spark reads; none if there is no such file. Spark's readers skip names with a leading dot."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root.rstrip("/") + "/.gitignore")
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(path):
+        return []
+    stream = store.open(path)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines()
+    finally:
+        stream.close()
+
+
+def read_sources(spark: SparkSession, root: str, languages: list[str] | None = None, ignore: list[str] = (), gitignore: list[str] | None = None) -> DataFrame:
     """(path, language, text) of the files below ``root`` (a folder on any store that Spark reads, or one file).
 
-    Files of unknown languages, empty files and those below .git are left out. A pattern of
+    Files of unknown languages, files that are not UTF-8, empty files and those
+    below .git are left out. ``gitignore`` are patterns in place of those of
+    the root's own .gitignore. A pattern of
     ``ignore`` counts if it fits the whole path, the path below the root or the
     file's name; a root that is one file is not subject to them.
     """
@@ -47,7 +62,8 @@ def read_sources(spark: SparkSession, root: str, languages: list[str] | None = N
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     files = (reader if single else reader.option("pathGlobFilter", known)).load(root)
     below = F.regexp_replace("path", "^.*?" + re.escape(root.rstrip("/")) + "/?", "")
-    rows = files.select("path", below.alias("below"), F.decode("content", "UTF-8").alias("text"), language(F.col("path")).alias("language"))
+    rows = files.where(F.length("content") > 0).select("path", below.alias("below"), F.try_validate_utf8(F.col("content").cast("string")).alias("text"), language(F.col("path")).alias("language"))
+    rows = rows.where("text is not null")
     if languages:
         rows = rows.where(F.col("language").isin(*languages))
     if not single:
@@ -55,7 +71,7 @@ def read_sources(spark: SparkSession, root: str, languages: list[str] | None = N
         for pattern in ignore:
             regex = glob_to_regex(pattern)
             rows = rows.where(~(F.col("path").rlike(regex) | F.col("below").rlike(regex) | F.element_at(F.split("below", "/"), -1).rlike(regex)))
-        rows = rows.where(not_ignored(F.col("below"), gitignore_regexes(list(gitignore))))
+        rows = rows.where(not_ignored(F.col("below"), gitignore_regexes(root_gitignore(spark, root) if gitignore is None else list(gitignore))))
     return rows.drop("below")
 
 
