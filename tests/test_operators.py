@@ -187,3 +187,113 @@ def test_extension_points(spark):
     assert out.count() == 3
     with pytest.raises(ValueError, match="one; three"):
         X.all_errors([("one", False), ("two", True), ("three", False)])
+
+
+CODE = {
+    "a.py": "import threading\n__all__ = ['run']\nT = {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 6, 7: 7, 8: 8, 9: 9, 10: 10}\nclass Builder:\n    def with_a(self, a):\n        self.a = a\n        return self\n    def with_b(self, b):\n        self.b = b\n        return self\n    def build(self):\n        return self.a\n@app.route('/')\nasync def run(p: int, q: int) -> int:\n    f = open('x')\n    threading.Thread(target=worker)\n    return f\ndef worker():\n    while True:\n        items.append(1)\n",
+    "b.py": "class A(Base):\n    pass\nclass B(Base):\n    pass\nclass C(Base):\n    def fill(self):\n        self.a = 1\n        self.b = 3\n        self.c = 4\n        self.d = 5\n        self.e = 6\ndef use(x: Builder):\n    return visit_all(x)\ndef visit_all(x):\n    if isinstance(x, A):\n        return 1\n    elif isinstance(x, B):\n        return 2\n    elif isinstance(x, C):\n        return 3\n",
+    "utils.py": "class A:\n    pass\ndef f(a, b, c, d, e, g):\n    return a\ndef h(a, b, c, d, e, g):\n    return b\n",
+    "bad.py": "def (",
+}
+
+
+def test_organization(spark):
+    from tidemark.operators import organization as O
+    from tidemark.operators.code_facts import facts
+
+    found = facts(spark.createDataFrame([(p, "Python", t) for p, t in CODE.items()] + [("none.py", "Python", None), ("x.rs", "Rust", "def (")], "path string, language string, text string")).cache()
+    assert rows(found.where("kind = 'error'").select("path", "name")) == [("bad.py", "SyntaxError")]
+    kinds = {(r.path, r.owner, r.fn, r.kind) for r in O.all_findings(found).collect()}
+    assert {
+        ("a.py", "", "", "registry"), ("a.py", "Builder", "", "builder"), ("a.py", "", "run", "framework_managed"), ("a.py", "", "run", "async_resource"), ("a.py", "", "run", "parallel_execution"), ("a.py", "", "worker", "function_value"), ("a.py", "", "worker", "unbounded_collection"),
+        ("b.py", "", "", "boilerplate"), ("b.py", "C", "fill", "struct_initialization"), ("b.py", "Base", "", "strategy"), ("b.py", "", "visit_all", "visitor"), ("b.py", "Builder", "use", "orphaned_function"), ("b.py", "A", "", "scattered_type"),
+        ("utils.py", "", "", "utility_sprawl"), ("utils.py", "", "f", "parameter_list"), ("utils.py", "", "", "parameter_clump"), ("utils.py", "", "", "hidden_type"),
+    } <= kinds
+    assert {(r.owner, r.methods, r.fields) for r in O.classes(found).where("path = 'a.py'").collect()} == {("Builder", 3, 2)}
+    assert rows(O.god_objects(found, most_methods=2).select("owner")) == [("Builder",)]
+    assert ("b.py", "use", "visit_all", "b.py") in rows(O.call_edges(found))
+    assert O.all_findings(found.where("false")).count() == 0
+
+
+def test_splits_and_scores(spark):
+    from tidemark.operators import organization as O
+
+    splits = spark.createDataFrame([("Utils", ["get_a", "get_b"], [], 4), ("Order", ["add_item", "drop_item", "total"], ["Order"], 1)], "split string, methods array<string>, types array<string>, most_parameters int")
+    assert rows(O.split_problems(splits)) == [("Utils", "lack_of_type_ownership", "Medium"), ("Utils", "parameter_passing", "Medium"), ("Utils", "technical_grouping", "High"), ("Utils", "utilities_module", "Critical")]
+    big = [f"read_row_{i}" for i in range(12)]
+    groups = spark.createDataFrame([("g", "big", big, 20, 0.9), ("g", "small", [f"read_row_{i}" for i in range(9)], 5, None), ("g", "other", ["zap"], 5, None), ("g", "loose", [f"x{i}" for i in range(11)], 5, 0.1)], "group string, split string, methods array<string>, lines int, cohesion double")
+    assert [(r.split, len(r.methods), r.lines, r.merged) for r in O.refined_splits(groups).collect()] == [("big", 21, 25, 1)]
+    one = spark.range(1)
+    values = one.select(
+        O.mapping_adjusted(F.lit(10), F.lit(2), F.lit(True), F.lit(0.5)).alias("a"), O.mapping_adjusted(F.lit(10), F.lit(2), F.lit(False), F.lit(0.5)).alias("b"), O.should_flag(F.lit(4), F.lit(4), F.lit(19), F.lit("CoreLogic")).alias("c"), O.should_flag(F.lit(4), F.lit(4), F.lit(20), F.lit("CoreLogic")).alias("d"),
+        O.should_flag(F.lit(5), F.lit(0), F.lit(1), F.lit("Test")).alias("e"), O.composition_score(F.lit(0), F.lit(0), F.lit(1.0)).alias("f"), O.composition_score(F.lit(2), F.lit(4), F.lit(1.0)).alias("g"), O.purity_confidence(F.lit(True), F.lit(False), F.lit(1), F.lit(2), F.lit(2), F.lit(True), F.lit(False)).alias("h"),
+    ).first()
+    assert values[:7] == pytest.approx((10 * 0.5 * 0.3 + 1.4, 10.0, False, True, False, 0.0, 0.4 + 0.3)) and values.h == pytest.approx(max(0.5, 0.8 * 0.85 * 0.95 * 0.95**2 * 0.85))
+    raw = spark.createDataFrame([("f", 5, 7), ("g", 1, 0)], "fn string, cyclomatic int, cognitive int")
+    assert rows(O.attribution(raw, spark.createDataFrame([("f", 4, 6), ("g", 1, 1)], raw.schema))) == [("f", 10, 2), ("g", 2, 0)]
+
+
+def reach_of(pairs):
+    out = {x: {b for a, b in pairs if a == x} for x in {x for p in pairs for x in p}}
+    while True:
+        more = {x: ys | {z for y in ys for z in out[y]} for x, ys in out.items()}
+        if more == out:
+            return out
+        out = more
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_graphs_by_brute_force(spark, seed):
+    """Bow ties, tails and islands: components, radii, cycles, levels, clustering and betweenness."""
+    import itertools
+    import random
+
+    rng = random.Random(seed)
+    pairs = sorted({(rng.randrange(40), rng.randrange(40)) for _ in range(48)} | {(50, 51), (51, 50), (51, 52), (60, 60)})
+    got, reach = spark.createDataFrame(pairs, "a long, b long"), reach_of(pairs)
+    nodes = sorted(reach)
+    component = {x: min([x, *(y for y in reach[x] if x in reach[y])]) for x in nodes}
+    assert dict(rows(G.strong_components(got))) == component
+    assert dict(rows(G.blast_radius(got))) == {x: len({y for y in nodes if x in reach[y]} | {x}) for x in nodes}
+    assert {r[0]: r[1:] for r in rows(G.cyclic(got))} == {x: (x in reach[x], any(y in reach[y] for y in reach[x] | {x})) for x in nodes}
+    level = {x: 0 for x in nodes}
+    for _ in nodes:
+        level = {x: max(level[y] for y in nodes if component[y] == component[x]) for x in nodes}
+        level = {x: max([level[x], *(level[b] + 1 for a, b in pairs if component[a] == component[x] != component[b])]) for x in nodes}
+    assert dict(rows(G.levels(got))) == level
+    calls = {x: {b for a, b in pairs if a == x} for x in nodes}
+    for mutual in (False, True):
+        want = {}
+        for x in nodes:
+            k = calls[x]
+            closed = sum((q in calls[p]) + (p in calls[q]) if not mutual else (q in calls[p] and p in calls[q]) for p, q in itertools.combinations(sorted(k - {x}), 2))
+            want[x] = closed / (len(k) * (len(k) - 1) / (2 if mutual else 1)) if len(k) >= 2 else 0.0
+        assert dict(rows(G.clustering(got, mutual))) == pytest.approx(want)
+
+
+def test_ranges_number_all_rows(spark):
+    from tidemark.operators.relational import ranked
+    from tidemark.operators.running import running
+
+    df = spark.createDataFrame([(i * 7919 % 1000, i) for i in range(1000)], "k long, v long")
+    assert [(r.k, r.place) for r in ranked(df, [F.col("k").desc()]).orderBy("place").collect()] == [(999 - i, i + 1) for i in range(1000)]
+    got = running(df, [F.col("k")], {"before": "v"}, "n").orderBy("k").collect()
+    total = 0
+    for i, r in enumerate(got):
+        assert (r.n, r.before) == (i, total)
+        total += r.v
+    assert running(df.where("false"), [F.col("k")], {"before": "v"}).count() == 0
+
+
+def test_source_tree_leaves_out_bad_bytes(spark, tmp_path):
+    (tmp_path / "good.rs").write_text("fn a() {}\n")
+    (tmp_path / "bad.rs").write_bytes(b"fn \xff\xfe")
+    (tmp_path / "out.rs").write_text("x")
+    (tmp_path / ".gitignore").write_text("out.*\n")
+    assert [Path(r.path).name for r in files.read_sources(spark, str(tmp_path)).collect()] == ["good.rs"]
+
+
+def test_calls_meet_one_definition(spark):
+    calls = spark.createDataFrame([(1, "a.py", "f"), (2, "b.py", "f"), (3, "c.py", "g"), (4, "c.py", "stop")], "call long, file string, name string")
+    known = spark.createDataFrame([(10, "b.py", "f"), (9, "x.py", "f"), (11, "b.py", "f"), (12, "c.py", "stop")], "definition long, file string, name string")
+    assert rows(J.resolve_calls(calls, known, ["stop"])) == [(1, 9), (2, 10), (3, None), (4, None)]

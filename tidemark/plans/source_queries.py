@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import marker_priority
 from tidemark.operators import detectors as D
+from tidemark.operators import organization as O
+from tidemark.operators.code_facts import facts
 from tidemark.plans.registry import register, table
-from tidemark.scratch import shared_dir
+from tidemark.scratch import materialize, shared_dir
 from tidemark.sources import lcov
 from tidemark.streaming import history
 
@@ -63,6 +65,28 @@ def _sources(spark):
     return spark.createDataFrame(SOURCES, "path string, language string, text string")
 
 
+#: Every event stands for a Python file: one of these, by its id.
+MODULES = (
+    "import os\n\nclass Order:\n    def __init__(self, store: Store, order_key: str):\n        self.store = store\n        self.order_key = order_key\n    def total(self, other):\n        a = other.price()\n        b = other.tax()\n        c = other.rate()\n        d = other.fee()\n        e = other.cost()\n        return a + b + c + d + e\n",
+    "def load(user_id: str, item_key: str, code: str):\n    \"\"\"Loads one item of a user by its key and code.\"\"\"\n    data = open('f')\n    return [x for x in data if x if x != 42]\n\ndef save(user_id: str, item_key: str, code: str):\n    limit = 42\n    return limit\n",
+    "def kind(x):\n    match x:\n        case 1:\n            return 'a'\n        case 2:\n            return 'b'\n        case 3:\n            return 'c'\n        case _:\n            return 'd'\n\ndef rank(x):\n    if x == 1:\n        return 7\n    elif x == 2:\n        return 8\n    elif x == 3:\n        return 9\n    else:\n        return 6\n",
+    "class Bus:\n    def subscribe(self, handler):\n        self.items.append(handler)\n    def notify(self, event):\n        for item in event:\n            self.items.append(item)\n    def get_size(self):\n        return self.size\n",
+    "def broken(:\n",
+)
+_MODULE_OF = "event_id % 5"
+
+
+def _modules(spark, sf_dir):
+    text = F.element_at(F.array(*map(F.lit, MODULES)), (c("event_id") % len(MODULES) + 1).cast("int"))
+    return table(spark, sf_dir, "events").select(c("event_id").cast("string").alias("path"), F.lit("Python").alias("language"), text.alias("text"))
+
+
+def _by_module(columns: str, rows: dict[int, list[tuple]]) -> str:
+    """SQL that gives each event the rows of its module."""
+    values = ", ".join("(" + ", ".join([str(m), *("'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x).upper() if isinstance(x, bool) else str(x) for x in row)]) + ")" for m, found in rows.items() for row in found)
+    return f"SELECT event_id::VARCHAR AS path, {columns} FROM events JOIN (VALUES {values}) AS v(module, {columns}) ON module = {_MODULE_OF}"
+
+
 #: Stand-ins for languages: a document is taken for a file of one of them.
 LANGUAGE_OF = "CASE doc_id % 6 WHEN 0 THEN 'Rust' WHEN 1 THEN 'TypeScript' WHEN 2 THEN 'JavaScript' WHEN 3 THEN 'Go' WHEN 4 THEN 'Solidity' ELSE 'Python' END"
 
@@ -87,14 +111,68 @@ def code_findings(spark, sf_dir):
     return D.line_findings(_sources(spark))
 
 
-@register("python_functions")
+#: What the modules hold, told by hand.
+METRICS = {
+    0: [("__init__", 4, 3, 1, 0, 0, 3), ("total", 7, 7, 1, 0, 0, 2)], 1: [("load", 1, 4, 2, 1, 0, 3), ("save", 6, 3, 1, 0, 0, 3)], 2: [("kind", 1, 10, 5, 8, 1, 1), ("rank", 12, 9, 4, 3, 1, 1)],
+    3: [("subscribe", 2, 2, 1, 0, 0, 2), ("notify", 4, 3, 2, 1, 1, 2), ("get_size", 7, 2, 1, 0, 0, 1)],
+}
+FINDINGS = {
+    0: [("Order", "", "dependency_injection", "", 1), ("Order", "total", "feature_envy", "other", 5)],
+    1: [("", "", "hidden_type", "CodeParams", 2), ("", "", "magic_value", "42", 2), ("", "", "parameter_clump", "code,item_key,user_id", 2), ("", "", "primitive_obsession", "str:identifier", 6), ("", "load", "open_resource", "open", 1), ("", "load", "pipeline", "ListComp", 3)],
+    2: [("", "", "magic_value", "3", 2), ("", "kind", "match", "top", 4), ("", "rank", "if_else_chain", "value", 3), ("", "rank", "pure_mapping", "", 3)],
+    3: [("Bus", "", "observer", "", 1), ("Bus", "notify", "unbounded_collection", "self.items", 1), ("Bus", "subscribe", "callback", "handler", 1)],
+}
+CLASSES = {0: [("Order", "__init__", "Boilerplate"), ("Order", "total", "Substantive")], 3: [("Bus", "subscribe", "Delegating"), ("Bus", "notify", "Substantive"), ("Bus", "get_size", "TrivialAccessor")]}
+API = {0: [("Order", "__init__", 0.255, False), ("Order", "total", 0.24, False)], 1: [("", "load", 0.805, True), ("", "save", 0.605, True)], 2: [("", "kind", 0.24, False), ("", "rank", 0.24, False)], 3: [("Bus", "subscribe", 0.24, False), ("Bus", "notify", 0.24, False), ("Bus", "get_size", 0.375, False)]}
+PURITY = {0: [("__init__", False, 1.0), ("total", True, 1.0)], 1: [("load", False, 0.95), ("save", True, 0.95)], 2: [("kind", True, 0.95), ("rank", True, 0.95)], 3: [("subscribe", True, 0.8), ("notify", True, 0.8), ("get_size", True, 0.8)]}
+COUNTS = {0: [(1, 0, 2, 1, False)], 1: [(0, 2, 0, 0, False)], 2: [(0, 2, 0, 0, False)], 3: [(1, 0, 3, 0, False)], 4: [(0, 0, 0, 0, False)]}
+ADJUSTED = {0: [("__init__", 1), ("total", 1)], 1: [("load", 2), ("save", 1)], 2: [("kind", 4), ("rank", 4)], 3: [("subscribe", 1), ("notify", 2), ("get_size", 1)]}
+
+
+@register("python_functions", _by_module("name, line, length, cyclomatic, cognitive, nesting, parameters", METRICS))
 def python_functions(spark, sf_dir):
-    return D.python_functions(_sources(spark))
+    return D.python_functions(_modules(spark, sf_dir)).where("error is null").select("path", "name", "line", "length", "cyclomatic", "cognitive", "nesting", "parameters")
 
 
 @register("metric_findings")
 def metric_findings(spark, sf_dir):
-    return D.metric_findings(D.python_functions(_sources(spark)))
+    return D.metric_findings(D.python_functions(_modules(spark, sf_dir).unionByName(_sources(spark))))
+
+
+#: Besides, the two classes are scattered over all files that stand for their modules.
+_SCATTERED = " UNION ALL ".join(f"SELECT min(event_id::VARCHAR), '{name}', '', 'scattered_type', '{name}', count(*) FROM events WHERE {_MODULE_OF} = {m} HAVING count(*) > 1" for m, name in ((0, "Order"), (3, "Bus")))
+
+
+@register("code_structure", f"{_by_module('owner, fn, kind, detail, n', FINDINGS)} UNION ALL {_SCATTERED}")
+def code_structure(spark, sf_dir):
+    return O.all_findings(materialize(facts(_modules(spark, sf_dir)), "facts"))
+
+
+@register("method_classes", _by_module("owner, fn, detail", CLASSES))
+def method_classes(spark, sf_dir):
+    return O.method_classes(materialize(facts(_modules(spark, sf_dir)), "facts")).select("path", "owner", "fn", "detail")
+
+
+@register("public_api", _by_module("owner, fn, score, is_public", API))
+def public_api(spark, sf_dir):
+    return O.public_api(materialize(facts(_modules(spark, sf_dir)), "facts"))
+
+
+@register("purity_verdicts", _by_module("fn, is_pure, confidence", PURITY))
+def purity_verdicts(spark, sf_dir):
+    found = materialize(facts(_modules(spark, sf_dir)), "facts")
+    return O.purity(found, D.python_functions(_modules(spark, sf_dir)).where("error is null")).withColumn("confidence", F.round("confidence", 6))
+
+
+@register("module_structure", _by_module("classes, functions, methods, imports, split", COUNTS))
+def module_structure(spark, sf_dir):
+    return O.module_structure(facts(_modules(spark, sf_dir)))
+
+
+@register("adjusted_cyclomatic", _by_module("fn, adjusted", ADJUSTED))
+def adjusted_cyclomatic(spark, sf_dir):
+    found = materialize(facts(_modules(spark, sf_dir)), "facts")
+    return O.adjusted_cyclomatic(D.python_functions(_modules(spark, sf_dir)).where("error is null"), found)
 
 
 @register("todo_markers", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS txt, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)
