@@ -15,13 +15,16 @@ _USED: set[str] = set()
 def shared_dir(spark: SparkSession) -> str:
     """This application's folder below the one that spark.checkpoint.dir names.
 
-    Where that is unset, below a temporary folder in local mode and below the
-    warehouse on a cluster. The folder goes when the driver ends.
+    Where that is unset, below a temporary folder in local mode; on a cluster
+    there is no folder that all machines are known to share, so that is an
+    error. The folder goes when the driver ends.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tidemark.shared.dir", None)
     if not named:
         local = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
-        named = tempfile.mkdtemp(prefix="tidemark-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tidemark"
+        if not local:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("tidemark.shared.dir", named)
     own = f"{named.rstrip('/')}/{spark.sparkContext.applicationId}"
     if own not in _USED:
