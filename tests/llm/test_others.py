@@ -35,6 +35,21 @@ def test_shards_are_exact_and_repeat(spark):
     assert [(r.shard, r.slot) for r in sharding.account(docs(spark, [(1, "a")])).collect()] == [(0, 0)]
 
 
+def test_shards_are_uniform(spark):
+    """Over many seeds: each row falls into each shard, and two rows into one, as often as chance says (chi-square)."""
+    rows = docs(spark, [(i, "x") for i in range(64)]).repartition(4).cache()
+    seeds = 60
+    at = Counter()
+    together = 0
+    for seed in range(seeds):
+        shard = {r.doc_id: r.shard for r in sharding.uniform_shards(rows.select("doc_id"), 4, seed).collect()}
+        at.update((i % 8, s) for i, s in shard.items())
+        together += shard[0] == shard[1]
+    want = seeds * 8 / 4
+    assert sum((at[g, s] - want) ** 2 / want for g in range(8) for s in range(4)) < 60  # 24 degrees of freedom: above 60 once in 20 000
+    assert 3 <= together <= 28  # 15 in 63: 14.3 of 60
+
+
 def test_matrix_keeps_both_sums_and_spreads():
     rows = [0, 1, 500, 512, 3]
     matrix = sharding.communication_matrix(rows, 16, 1)
@@ -155,12 +170,68 @@ def test_attention_weights_sum_and_learn():
     assert weights.sum() == pytest.approx(1) and weights.argmax() == bags[201][:, :5].sum(axis=1).argmax()
 
 
+def small_model(rng):
+    shapes = {"embed": (quality.WIDTH, quality.HIDDEN), "shift": (quality.HIDDEN,), "tanh": (quality.HIDDEN, quality.GATES), "gate": (quality.HIDDEN, quality.GATES), "mix": (quality.GATES,), "out": (quality.HIDDEN,)}
+    return quality.Attention(rng.normal(size=quality.WIDTH), rng.uniform(0.5, 2, quality.WIDTH), **{k: rng.normal(0, 0.3, v) for k, v in shapes.items()}, bias=0.2)
+
+
+def plain_score(model, bag):
+    """One document, passage by passage, weight by weight."""
+    hs, raws = [], []
+    for passage in bag:
+        x = [(v - m) / s for v, m, s in zip(passage, model.mean, model.scale, strict=True)]
+        h = [math.tanh(sum(v * w for v, w in zip(x, model.embed[:, j], strict=True)) + model.shift[j]) for j in range(quality.HIDDEN)]
+        gates = [math.tanh(sum(v * w for v, w in zip(h, model.tanh[:, k], strict=True))) / (1 + math.exp(-sum(v * w for v, w in zip(h, model.gate[:, k], strict=True)))) for k in range(quality.GATES)]
+        hs.append(h)
+        raws.append(sum(g * w for g, w in zip(gates, model.mix, strict=True)))
+    weights = [math.exp(r) / sum(map(math.exp, raws)) for r in raws]
+    z = [sum(w * h[j] for w, h in zip(weights, hs, strict=True)) for j in range(quality.HIDDEN)]
+    return 1 / (1 + math.exp(-sum(v * w for v, w in zip(z, model.out, strict=True)) - model.bias))
+
+
+def test_scores_equal_a_plain_forward_pass(spark):
+    model, rng = small_model(np.random.default_rng(4)), np.random.default_rng(5)
+    texts = ["", "short", "Some words, 12 of them! " * 120, "x" * 5000, None]
+    got = {r.doc_id: r.score for r in quality.scored(docs(spark, list(enumerate(texts))), model).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == pytest.approx(plain_score(model, quality.encode(t or "")), abs=1e-6)
+    bags = [rng.normal(size=(n, quality.WIDTH)) for n in (1, 3, 2)]
+    assert model.score(bags) == pytest.approx([plain_score(model, b) for b in bags], abs=1e-8)
+
+
+def test_lots_do_not_change_scores(monkeypatch):
+    model, rng = small_model(np.random.default_rng(4)), np.random.default_rng(5)
+    bags = [rng.normal(size=(1 + i % 5, quality.WIDTH)) for i in range(40)]
+    one = model.score(bags)
+    monkeypatch.setattr(quality, "LOT", 3)
+    assert (model.score(bags) == one).all()
+
+
 def test_gradient_matches_differences():
     rng = np.random.default_rng(2)
-    bags, labels = [rng.normal(size=(3, quality.WIDTH)) for _ in range(4)], np.array([0, 1, 0, 1])
-    before = quality.fit(bags, labels)
-    assert before.score(bags)[1] > before.score(bags)[0]
-    assert (before.score([b for b in bags]) == np.concatenate([before.score([b]) for b in bags])).all() or np.allclose(before.score(bags), np.concatenate([before.score([b]) for b in bags]))
+    model, x, starts, y = small_model(rng), rng.normal(size=(9, quality.WIDTH)), np.array([0, 2, 3, 7]), np.array([0.0, 1.0, 0.0, 1.0])
+    importance = np.array([0.3, 0.2, 0.4, 0.1])
+
+    def loss():
+        p = 1 / (1 + np.exp(-model._forward(x, starts)[-1]))
+        return -(importance * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum()
+
+    slopes = quality.gradient(model, x, starts, y, importance)
+    for name in ("embed", "shift", "tanh", "gate", "mix", "out"):
+        weights = getattr(model, name)
+        for _ in range(5):
+            at = tuple(int(rng.integers(n)) for n in weights.shape)
+            kept = weights[at]
+            weights[at] = kept + 1e-5
+            high = loss()
+            weights[at] = kept - 1e-5
+            low = loss()
+            weights[at] = kept
+            assert slopes[name][at] == pytest.approx((high - low) / 2e-5, abs=1e-6)
+    model.bias += 1e-5
+    high = loss()
+    model.bias -= 2e-5
+    assert slopes["bias"] == pytest.approx((high - loss()) / 2e-5, abs=1e-6)
 
 
 # Language model
@@ -334,6 +405,12 @@ def test_reputation_by_hand_and_verdicts(spark):
     assert verdict["bad.spam.org"] == "block" and verdict["one.new.org"] == "allow" and verdict["h1.d1.org"] == "allow"
 
 
+def test_registered_domains(spark):
+    hosts = {"a.spam.co.uk": ("spam.co.uk", "co.uk"), "b.good.co.uk": ("good.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.y.org": ("y.org", "org"), "localhost": ("localhost", "localhost"), "": ("", "")}
+    got = spark.createDataFrame([(h,) for h in hosts], "host string").select("host", url_filter.domain_of(F.col("host")), url_filter.suffix_of(F.col("host"))).collect()
+    assert {r[0]: tuple(r[1:]) for r in got} == hosts
+
+
 # HTML
 
 PAGES = [
@@ -344,6 +421,12 @@ PAGES = [
     ("a&amp;b &lt; c &#233;<!-- no --> d", "a&b < c é d"),
     ("<pre>  k\n    v</pre>end", "  k\n    v\n\nend"),
     ("<div>a</div>\n<div>b</div></p></span>c", "a\nb\n\nc"),
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a  b\n   c\nd  e"),
+    ("<table><tr><td rowspan=0 colspan=2>a<td>b<tr><td>c<tr><td>d</table>", "a    b\n     c\n     d"),
+    ("<pre>\nfoo\n bar</pre><textarea>\nx</textarea>", "foo\n bar\n\nx"),
+    ("<div style='visibility:hidden'>no<b style='visibility:visible'>yes</b>no</div>z<div style='display:none'><b style='visibility:visible'>no</b></div>", "yes\nz"),
+    ("<table><tr><td>日本<td>x<tr><td>abcd<td>y</table>", "日本  x\nabcd  y"),
+    ("<table><tr><td><p>a</td><td>b</tr></table></p>c", "a  b\n\nc"), ("<div><option>a<option>b</div>c", "a\nb\nc"),
     ("", ""), ("   ", ""), ("just text", "just text"), ("<", "<"), ("a < b", "a < b"), ("<p", ""),
     ("<table><tr><td><ul><li>a<li>b</ul><td>c</table>", "- a - b  c"),
     ("<noscript>no</noscript><input type=hidden value=x><template>no</template>y", "y"),
@@ -365,6 +448,19 @@ def test_rendering_of_large_and_deep_pages():
     assert html_text.render("<table>" * 300 + "x").strip() == "x"
 
 
+def test_rendering_time_is_linear():
+    import time
+
+    def took(n):
+        page = "<div>" * n + "<option></option>" * n + "<p>x" * n + "</b>" * n
+        began = time.process_time()
+        html_text.render(page)
+        return time.process_time() - began
+
+    took(500)
+    assert took(16_000) < 16 * max(took(2000), 0.01)
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "<p>a", "u"), (2, None, "u"), (2, None, "u")], "page_id long, html string, text string")
     got = html_text.extract(pages)

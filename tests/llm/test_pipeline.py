@@ -67,3 +67,32 @@ def test_tokens_decode_to_the_pieces(stages):
 def test_run_gives_the_last_stage(spark, stages):
     assert corpus_pipeline.run(spark, SF).count() == len(stages[-1])
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+EDGES = [(1, "good words in a row " * 9, "en", "a", 0), (1, "good words in a row " * 9, "en", "a", 0), (2, None, None, None, None), (3, "", "en", "a", 0), (None, "some text of a null id", "en", None, 1), (None, "some text of a null id", "en", None, 1), (4, "Good words in a row " * 9, "en", "b", 2), (5, "x", "en", "b", 1)]
+
+
+@pytest.mark.parametrize("rows", [EDGES, []])
+def test_stages_take_nulls_repeats_clashes_and_empty_tables(spark, rows):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema)
+    for name in ("key", "id", "digest", "score", "label", "component", "mix_piece", "start", "block", "bands", "__mark"):
+        docs = docs.withColumn(name, docs["n_chars"])
+    counts = []
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs.columns
+        docs = materialize(stage(spark, docs, SF), name)
+        assert name == "bpe" or docs.columns == before
+        counts.append(docs.count())
+    if not rows:
+        assert counts == [0] * 5
+        return
+    assert len(counts) == 5 and counts[0] <= len(rows) and counts[3] == counts[4] > 0
+
+
+def test_exact_and_near_stages_on_nulls(spark):
+    docs = spark.createDataFrame(EDGES, "doc_id long, text string, lang string, source string, n_chars long")
+    exact = corpus_pipeline.distinct_texts(spark, docs, SF)
+    assert sorted(((r.doc_id, (r.text or "")[:9]) for r in exact.collect()), key=str) == sorted([(1, "good word"), (3, ""), (4, "Good word"), (5, "x"), (None, "some text")], key=str)
+    near = corpus_pipeline.no_near_copies(spark, exact, SF)
+    assert sorted((str(r.doc_id) for r in near.collect())) == ["1", "3", "5", "None"]

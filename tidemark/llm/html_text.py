@@ -11,6 +11,8 @@ builder keeps the open elements only, so deep pages need no recursion.
 from __future__ import annotations
 
 import re
+import unicodedata
+from bisect import bisect_right
 from html import unescape
 
 import pandas as pd
@@ -23,7 +25,8 @@ from tidemark.llm.text import whole
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)(?:>|\Z)|<|[^<]+", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 SPACES = re.compile(r"[ \t\n\r\f]+")
-INVISIBLE_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+NOT_DISPLAYED = re.compile(r"display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -49,10 +52,11 @@ IMPLIED_ENDS = {
 }
 #: An end tag does not close elements beyond these, unless it names them.
 SCOPE = frozenset(("table", "td", "th", "caption", "html", "template"))
+CLOSES_SCOPES = frozenset(("table", "tr", "thead", "tbody", "tfoot", "td", "th", "body", "html"))
 #: A column is as wide as its longest cell up to this; longer cells push their row's rest to the right, so padding stays in proportion to the text.
 COLUMN = 40
-#: The standard's bound of colspan.
-MOST_COLUMNS = 1000
+#: The standard's bounds of colspan and rowspan.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 
 
 class _Box:
@@ -126,25 +130,41 @@ class _Box:
         return "\n".join(self.lines)
 
 
+def _width(text: str) -> int:
+    """Columns that a text takes: two for wide characters, none for combining ones."""
+    if text.isascii():
+        return len(text)
+    return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
+
+
 class _Table:
     def __init__(self) -> None:
         self.rows: list[list[str]] = []
+        self.taken: dict[int, int] = {}  # columns that cells of earlier rows reach into, and for how many rows yet
+        self.coming: dict[int, int] = {}
 
-    def cell(self, text: str, span: int) -> None:
+    def row(self) -> None:
+        self.taken = {c: n - 1 for c, n in self.taken.items() if n > 1} | self.coming
+        self.coming = {}
+        self.rows.append([])
+
+    def cell(self, text: str, columns: int, rows: int) -> None:
         if not self.rows:
-            self.rows.append([])
-        self.rows[-1] += [SPACES.sub(" ", text).strip(), *[""] * (span - 1)]
+            self.row()
+        row = self.rows[-1]
+        while len(row) in self.taken:
+            row.append("")
+        if rows > 1:
+            self.coming |= dict.fromkeys(range(len(row), len(row) + columns), rows - 1)
+        row += [SPACES.sub(" ", text).strip(), *[""] * (columns - 1)]
 
     def lines(self) -> list[str]:
         rows = [r for r in self.rows if any(r)]
         widths = [0] * max(map(len, rows), default=0)
         for row in rows:
             for i, cell in enumerate(row):
-                if len(cell) <= COLUMN:
-                    widths[i] = max(widths[i], len(cell))
-                else:
-                    widths[i] = COLUMN
-        return ["  ".join(cell.ljust(w) for cell, w in zip(row, widths, strict=False)).rstrip() for row in rows]
+                widths[i] = max(widths[i], min(COLUMN, _width(cell)))
+        return ["  ".join(cell + " " * (w - _width(cell)) for cell, w in zip(row, widths, strict=False)).rstrip() for row in rows]
 
 
 class _Renderer:
@@ -156,12 +176,17 @@ class _Renderer:
         self.lists: list[list] = []  # [ordered, next number]
         self.indents = [""]
         self.hidden = 0
+        self.seen = True  # by visibility, which inner elements can turn on again
         self.pre = 0
+        self.first_break = False  # a line break that follows <pre> at once is none
 
     def open(self, name: str, attributes: str) -> dict:
         """What close() needs to undo the element."""
-        state = {"name": name, "hides": self._hides(name, attributes)}
+        state = {"name": name, "hides": self._hides(name, attributes), "seen": self.seen}
+        self.first_break = False
         self.hidden += state["hides"]
+        if "visibility" in attributes.lower() and (said := VISIBILITY.findall(_attributes(attributes).get("style", ""))):
+            self.seen = said[-1].lower() == "visible"
         if self.hidden:
             return state
         box = self.boxes[-1]
@@ -192,15 +217,17 @@ class _Renderer:
             state["indent"] = True
         elif name in ("pre", "textarea", "xmp"):
             self.pre += 1
+            self.first_break = name != "xmp"
             state["pre"] = True
         elif name == "table":
             self.tables.append(_Table())
             state["table"] = True
         elif name == "tr" and self.tables:
-            self.tables[-1].rows.append([])
+            self.tables[-1].row()
         elif name in ("td", "th") and self.tables:
-            span = _attributes(attributes).get("colspan", "") if "colspan" in attributes.lower() else ""
-            state["cell"] = min(MOST_COLUMNS, int(span)) if re.fullmatch(r"[1-9]\d{0,8}", span) else 1
+            found = _attributes(attributes) if "span" in attributes.lower() else {}
+            columns, rows = found.get("colspan", ""), found.get("rowspan", "")
+            state["cell"] = min(MOST_COLUMNS, int(columns)) if re.fullmatch(r"[1-9]\d{0,8}", columns) else 1, MOST_ROWS if rows == "0" else min(MOST_ROWS, int(rows)) if re.fullmatch(r"[1-9]\d{0,8}", rows) else 1
             self.boxes.append(_Box())
             state["saved"] = self.indents, self.lists
             self.indents, self.lists = [""], []
@@ -213,23 +240,27 @@ class _Renderer:
         if not attributes:
             return False
         low = attributes.lower()
-        if "hidden" not in low and "display" not in low and "visibility" not in low and name != "dialog":
+        if "hidden" not in low and "display" not in low and name != "dialog":
             return False
         found = _attributes(attributes)
-        return "hidden" in found or bool(INVISIBLE_STYLE.search(found.get("style", ""))) or name == "input" and found.get("type", "").lower() == "hidden" or name == "dialog" and "open" not in found
+        return "hidden" in found or bool(NOT_DISPLAYED.search(found.get("style", ""))) or name == "input" and found.get("type", "").lower() == "hidden" or name == "dialog" and "open" not in found
 
     def text(self, text: str) -> None:
-        if not self.hidden:
+        if self.first_break and text.startswith("\n"):
+            text = text[1:]
+        self.first_break = False
+        if not self.hidden and self.seen and text:
             self.boxes[-1].add(text, self.pre > 0, self.indents[-1])
 
     def close(self, state: dict) -> None:
+        self.seen, self.first_break = state["seen"], False
         if self.hidden:
             self.hidden -= state["hides"]
             return
         name = state["name"]
         if "cell" in state:
             self.indents, self.lists = state["saved"]
-            self.tables[-1].cell(self.boxes.pop().text(), state["cell"])
+            self.tables[-1].cell(self.boxes.pop().text(), *state["cell"])
             return
         box = self.boxes[-1]
         if "table" in state:
@@ -264,14 +295,21 @@ def _raw_end(html: str, name: str, at: int) -> int:
 def render(html: str) -> str:
     """All visible text of a page, laid out; "" for an empty page."""
     renderer, opened, at = _Renderer(), [], 0
-    where: dict[str, int] = {}  # how many elements of a name are open
+    where: dict[str, list[int]] = {}  # places of the open elements of a name, in order
+    scopes: list[int] = []  # and of those of SCOPE
 
     def close_to(n: int) -> None:
         while len(opened) > n:
             state = opened.pop()
-            where[state["name"]] -= 1
+            where[state["name"]].pop()
+            if scopes and scopes[-1] == len(opened):
+                scopes.pop()
             renderer.close(state)
 
+    def last(names) -> int:
+        """The place of the innermost open element of these names, or -1."""
+        return max((where[n][-1] for n in names if where.get(n)), default=-1)
+
     while at < len(html):
         token = TOKEN.match(html, at)
         at = token.end()
@@ -286,33 +324,19 @@ def render(html: str) -> str:
                 renderer.close(renderer.open("p", ""))
             elif name == "br":
                 renderer.open("br", "")
-            elif where.get(name):
-                for n in range(len(opened) - 1, -1, -1):
-                    if opened[n]["name"] == name:
-                        close_to(n)
-                        break
-                    if opened[n]["name"] in SCOPE and name not in ("table", "tr", "thead", "tbody", "tfoot", "td", "th", "body", "html"):
-                        break
+            elif where.get(name) and (where[name][-1] >= (scopes[-1] if scopes else -1) or name in CLOSES_SCOPES):
+                close_to(where[name][-1])
             continue
-        if name in ENDS_PARAGRAPH and where.get("p"):
-            for n in range(len(opened) - 1, -1, -1):
-                if opened[n]["name"] == "p":
-                    close_to(n)
-                    break
-                if opened[n]["name"] in SCOPE or opened[n]["name"] == "button":
-                    break
+        if name in ENDS_PARAGRAPH and where.get("p") and where["p"][-1] > max(scopes[-1] if scopes else -1, last(("button",))):
+            close_to(where["p"][-1])
         if name in IMPLIED_ENDS:
             ends, stops = IMPLIED_ENDS[name]
-            last = None
-            for n in range(len(opened) - 1, -1, -1):
-                if opened[n]["name"] in ends:
-                    last = n
-                elif opened[n]["name"] in stops:
-                    break
-            if last is not None:
-                close_to(last)
+            stop = last(stops)
+            ended = [where[n][k] for n in ends if where.get(n) and (k := bisect_right(where[n], stop)) < len(where[n])]
+            if ended:
+                close_to(min(ended))
         elif name == "body" and where.get("head") or name not in NEVER_SHOWN and where.get("head") and opened and opened[-1]["name"] == "head":
-            close_to(next(n for n, state in enumerate(opened) if state["name"] == "head"))
+            close_to(where["head"][0])
         state = renderer.open(name, attributes)
         if name in VOID:
             renderer.close(state)
@@ -325,8 +349,10 @@ def render(html: str) -> str:
         elif attributes.rstrip().endswith("/") and name in ("svg", "math"):
             renderer.close(state)
         else:
+            if name in SCOPE:
+                scopes.append(len(opened))
+            where.setdefault(name, []).append(len(opened))
             opened.append(state)
-            where[name] = where.get(name, 0) + 1
     close_to(0)
     return renderer.boxes[0].text()
 

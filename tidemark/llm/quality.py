@@ -122,6 +122,21 @@ class Attention:
         return self._forward((bag - self.mean) / self.scale, np.array([0]))[3]
 
 
+def gradient(model: Attention, x: np.ndarray, starts: np.ndarray, y: np.ndarray, importance: np.ndarray) -> dict[str, np.ndarray]:
+    """Slopes, by the weights' names, of the sum over documents of ``importance`` times the cross entropy; ``x`` holds standardised passages, ``starts`` where each document's begin."""
+    h, a, s, weight, at, z, logit = model._forward(x, starts)
+    error = importance * (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y)
+    dz = np.outer(error, model.out)[at]
+    dh = weight[:, None] * dz
+    pull = (h * dz).sum(axis=1)
+    draw = weight * (pull - np.add.reduceat(weight * pull, starts)[at])
+    both = np.outer(draw, model.mix)
+    da, ds = both * s * (1 - a * a), both * a * s * (1 - s)
+    dh += da @ model.tanh.T + ds @ model.gate.T
+    inner = dh * (1 - h * h)
+    return {"embed": x.T @ inner, "shift": inner.sum(axis=0), "tanh": h.T @ da, "gate": h.T @ ds, "mix": (a * s).T @ draw, "out": z.T @ error, "bias": error.sum()}
+
+
 def fit(bags: list[np.ndarray], labels: np.ndarray, seed: int = 5) -> Attention:
     """Adam on the cross entropy of document labels, classes weighing the same; without both classes the model scores every document 0.5."""
     rng = np.random.default_rng(seed)
@@ -137,17 +152,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, seed: int = 5) -> Attention:
     names = [*shapes, "bias"]
     first, second = ({k: np.zeros_like(getattr(model, k)) for k in names} for _ in range(2))
     for step in range(1, EPOCHS + 1):
-        h, a, s, weight, at, z, logit = model._forward(x, starts)
-        error = importance * (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y)
-        dz = np.outer(error, model.out)[at]
-        dh = weight[:, None] * dz
-        pull = (h * dz).sum(axis=1)
-        draw = weight * (pull - np.add.reduceat(weight * pull, starts)[at])
-        both = np.outer(draw, model.mix)
-        da, ds = both * s * (1 - a * a), both * a * s * (1 - s)
-        dh += da @ model.tanh.T + ds @ model.gate.T
-        inner = dh * (1 - h * h)
-        slopes = {"embed": x.T @ inner, "shift": inner.sum(axis=0), "tanh": h.T @ da, "gate": h.T @ ds, "mix": (a * s).T @ draw, "out": z.T @ error, "bias": error.sum()}
+        slopes = gradient(model, x, starts, y, importance)
         for k in names:
             slope = slopes[k] + DECAY * getattr(model, k)
             first[k] = 0.9 * first[k] + 0.1 * slope

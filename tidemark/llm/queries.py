@@ -15,34 +15,42 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mixes all documents; nulls, empties and repeats as mixing.account() says."""
     return mixing.account(_table(spark, sf_dir, "documents"))
 
 
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Renders every page; a null or empty page gives an empty text."""
     return html_text.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores every document with a classifier fitted on at most quality.PER_CLASS labelled documents of each class; an empty table gives an empty result."""
     return quality.account(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links all documents at 85 percent of shared shingles; nulls, empties and repeats as minhash.classes() says."""
     return minhash.classes(_table(spark, sf_dir, "documents"))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints every document and its edited text; nulls and repeats as simhash.account() says."""
     return simhash.account(_table(spark, sf_dir, "documents"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts over all documents; nulls and repeats as exact_dedup.annotate() says."""
     return exact_dedup.annotate(_table(spark, sf_dir, "documents"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents into 16 shards by the law of rows; nulls and repeats as sharding.account() says."""
     return sharding.account(_table(spark, sf_dir, "documents"))
 
 
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores every document; nulls, empties and repeats as lm.account() says."""
     return lm.account(_table(spark, sf_dir, "documents"))
 
 
@@ -53,11 +61,12 @@ def tokenizer_path() -> str:
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes and decodes every document with the public 50k byte-level vocabulary; a null text is empty."""
     return bpe.account(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels of the same id are the pages' outcomes: low quality is bad."""
+    """Judges every page's url; labels of the same id are the pages' outcomes: low quality is bad. Nulls and repeats as url_filter.judge() says."""
     outcomes = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
     return url_filter.judge(_table(spark, sf_dir, "pages"), outcomes).withColumn("reputation", F.round("reputation", 9))
 
@@ -84,10 +93,15 @@ def _case(said: int) -> str:
     return "CASE " + " ".join(fits) + " END"
 
 
+_TWO = "array_to_string(string_split(host, '.')[-2:], '.')"
+_IN_TABLE = f"{_TWO} IN ({', '.join(repr(x) for x in url_filter.TWO_LABEL_SUFFIXES)})"
+_DOMAIN = f"CASE WHEN {_IN_TABLE} THEN array_to_string(string_split(host, '.')[-3:], '.') ELSE {_TWO} END"
+_SUFFIX = f"CASE WHEN {_IN_TABLE} THEN {_TWO} ELSE string_split(host, '.')[-1] END"
+
 OP10_SQL = rf"""
 WITH parsed AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)\A.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(coalesce(url, ''), '(?s)\A.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
-hosts AS (SELECT host, count(*) AS n, sum(1 - quality) AS bad, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix
+hosts AS (SELECT host, count(*) AS n, sum(1 - quality) AS bad, {_DOMAIN} AS domain, {_SUFFIX} AS suffix
   FROM parsed JOIN labels ON page_id = doc_id WHERE quality IS NOT NULL GROUP BY host),
 domains AS (SELECT domain, suffix, CAST(sum(n) AS BIGINT) AS n, CAST(sum(bad) AS BIGINT) AS bad FROM hosts GROUP BY domain, suffix),
 suffixes AS (SELECT suffix, CAST(sum(n) AS BIGINT) AS n, CAST(sum(bad) AS BIGINT) AS bad FROM domains GROUP BY suffix),

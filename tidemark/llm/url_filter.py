@@ -1,7 +1,7 @@
 """URL filter: explicit rules first, then an empirical-Bayes host reputation.
 
 Labelled pages give each host a count of bad outcomes. The shares of bad pages
-shrink down a tree: the suffix's towards all pages', the registered domain's
+shrink down a tree: the public suffix's towards all pages', the registered domain's
 towards its suffix's, the host's towards its domain's. Each level's beta prior
 has as its strength the beta-binomial moment estimate from the groups of that
 level. A host is blocked where the lower posterior bound of its share passes a
@@ -13,7 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.scratch import materialize
 from tidemark.llm.text import lower_ascii, whole
+from tidemark.operators.hot import attach
 
 #: (verdict, rule): the rule's host ends at its first slash; its path starts there.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -21,8 +23,11 @@ RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example
 Z, LIMIT = 1.645, 0.5
 #: Bounds of a prior's strength in pages.
 WEAKEST, STRONGEST = 1.0, 1000.0
-#: A hot host's pages go to so many tasks when they meet its reputation.
-SALTS = 64
+# Public suffixes of two labels; every other suffix is the last label. Pass others as ``suffixes``.
+TWO_LABEL_SUFFIXES = tuple(
+    "ac.jp ac.nz ac.uk ac.za co.id co.il co.in co.jp co.ke co.kr co.nz co.th co.uk co.za com.ar com.au com.br com.cn com.co com.eg com.hk com.mx com.my com.ng com.pe com.ph com.pk com.pl com.sa com.sg com.tr com.tw com.ua com.ve com.vn"
+    " edu.au edu.cn edu.tw go.jp gob.mx gov.au gov.br gov.cn gov.in gov.uk gov.za ltd.uk me.uk ne.jp net.au net.br net.cn net.nz net.uk nhs.uk or.jp or.kr org.au org.br org.cn org.mx org.nz org.tw org.uk org.za plc.uk sch.uk".split()
+)
 
 
 def host_of(url: Column) -> Column:
@@ -55,16 +60,26 @@ def _strength(groups: DataFrame) -> DataFrame:
     return sums.select(F.when(usable, F.least(F.greatest((1 - rho) / rho, F.lit(WEAKEST)), F.lit(STRONGEST))).otherwise(STRONGEST).alias("strength"))
 
 
+def suffix_of(host: Column, suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> Column:
+    """The host's public suffix: its last two labels where the table has them, else the last."""
+    two = F.substring_index(host, ".", -2)
+    return F.when(two.isin(*suffixes), two).otherwise(F.substring_index(host, ".", -1))
+
+
+def domain_of(host: Column, suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> Column:
+    """The host's registered domain: its suffix and the label before it; a host that is a suffix is its own domain."""
+    return F.when(F.substring_index(host, ".", -2).isin(*suffixes), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+
+
 def reputations(outcomes: DataFrame, z: float = Z) -> DataFrame:
     """(host, n, bad, mean, lower) from labelled pages (host, bad 0 or 1); rows with a null in either don't count.
 
-    The registered domain is the last two labels of the host and the suffix the
-    last. An empty table gives an empty result.
+    An empty table gives an empty result.
     """
-    domain, suffix = F.substring_index("host", ".", -2), F.substring_index("host", ".", -1)
-    hosts = outcomes.where("host is not null and bad is not null").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad")).withColumn("domain", domain).withColumn("suffix", suffix)
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    counted = outcomes.where("host is not null and bad is not null").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"))
+    hosts = materialize(counted.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))), "hosts")
+    domains = materialize(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "domains")
+    suffixes = materialize(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "suffixes")
     overall = suffixes.agg(((F.sum("bad") + 0.5) / (F.sum("n") + 1)).alias("above"))
 
     def shrunk(level: DataFrame, above: DataFrame, on: str | None, name: str) -> DataFrame:
@@ -72,7 +87,7 @@ def reputations(outcomes: DataFrame, z: float = Z) -> DataFrame:
         return joined.crossJoin(F.broadcast(_strength(level))).withColumn(name, (F.col("bad") + F.col("strength") * F.col("above")) / (F.col("n") + F.col("strength")))
 
     by_suffix = shrunk(suffixes, overall, None, "rate").select("suffix", F.col("rate").alias("above"))
-    by_domain = shrunk(domains, by_suffix, "suffix", "rate").select("domain", F.col("rate").alias("above"))
+    by_domain = materialize(shrunk(domains, by_suffix, "suffix", "rate").select("domain", F.col("rate").alias("above")), "by_domain")
     by_host = shrunk(hosts, by_domain, "domain", "mean")
     deviation = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + F.col("strength") + 1))
     return by_host.select("host", "n", "bad", "mean", (F.col("mean") - z * deviation).alias("lower"))
@@ -87,10 +102,11 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, limit: float = LIM
     bound does. Hosts without labelled pages are allowed; reputation is then
     null. Repeated rows each get a row. Other columns are not read.
     """
-    parsed = pages.select(F.col(id_col), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    parsed = materialize(pages.select(F.col(id_col), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path")), "parsed")
     labelled = parsed.join(outcomes.select(F.col(id_col), F.col("bad")), id_col).select("host", "bad")
-    known = reputations(labelled, z).select("host", "lower").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = parsed.withColumn("salt", F.pmod(F.xxhash64(id_col, "path"), F.lit(SALTS)).cast("int"))
+    met = parsed.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    known = materialize(met.join(reputations(labelled, z).select("host", "lower"), "host", "left"), "known")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     by_method = F.when(F.col("lower") > limit, "block").otherwise("allow")
-    return salted.join(known, ["host", "salt"], "left").select(id_col, "host", "path", rule.alias("rule"), F.coalesce(verdict, by_method).alias("verdict"), F.col("lower").alias("reputation"))
+    told = attach(parsed, known, "host", known.agg(F.sum("n")).first()[0] or 0)
+    return told.select(id_col, "host", "path", rule.alias("rule"), F.coalesce(verdict, by_method).alias("verdict"), F.col("lower").alias("reputation"))
