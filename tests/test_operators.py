@@ -297,3 +297,26 @@ def test_calls_meet_one_definition(spark):
     calls = spark.createDataFrame([(1, "a.py", "f"), (2, "b.py", "f"), (3, "c.py", "g"), (4, "c.py", "stop")], "call long, file string, name string")
     known = spark.createDataFrame([(10, "b.py", "f"), (9, "x.py", "f"), (11, "b.py", "f"), (12, "c.py", "stop")], "definition long, file string, name string")
     assert rows(J.resolve_calls(calls, known, ["stop"])) == [(1, 9), (2, 10), (3, None), (4, None)]
+
+
+def test_method_clusters(spark):
+    from tidemark.operators import clusters as M
+
+    methods = [("t", f"read_{i}") for i in range(4)] + [("t", f"write_{i}") for i in range(4)] + [("t", "alone"), ("t", None), ("big", "x")] + [("big", f"m{i}") for i in range(250)]
+    calls = [("t", f"{w}_{i}", f"{w}_{j}", 1) for w in ("read", "write") for i in range(4) for j in range(i)] + [("t", "read_0", "write_0", 1), ("big", "m1", "m2", 1), ("t", None, "read_0", 1)]
+    known, edges_ = spark.createDataFrame(methods, "grp string, method string"), spark.createDataFrame(calls, "grp string, a string, b string, n long")
+    found = M.method_clusters(known, edges_).collect()
+    clusters = {}
+    for r in found:
+        clusters.setdefault((r.grp, r.cluster, r.category, r.cohesion), set()).add(r.method)
+    assert {k[2]: v for k, v in clusters.items()} == {w: {f"{w}_{i}" for i in range(4)} for w in ("read", "write")}
+    assert {k[3] for k in clusters} == {round(6 / 7, 6)} and {k[0] for k in clusters} == {"t"}
+    hybrid = M.method_clusters(known, edges_, hybrid=True).collect()
+    assert {r.category for r in hybrid} == {"read", "write", "alone"} and len(hybrid) == 9
+    assert M.method_clusters(known.where("false"), edges_).count() == 0
+    many = [f"a_{i}" for i in range(12)]
+    links = {m: M.Counter() for m in many}
+    for lot in (many[:4], many[4:8]):
+        for x in lot:
+            links[x].update({y: 1 for y in lot if y != x})
+    assert M.hybrid_of(many, links) == [("a", many[:4]), ("a", many[4:8]), ("a", many[8:])]

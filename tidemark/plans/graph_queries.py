@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import clusters as M
 from tidemark.operators import graph as G
-from tidemark.plans.registry import register
+from tidemark.plans.registry import register, table
 from tidemark.plans.stand_ins import DENSE_SQL, EDGES_SQL, dense_edges, edges
 
 c = F.col
@@ -154,6 +156,24 @@ def propagated_purity(spark, sf_dir):
     return G.propagated_purity(nodes, calls).withColumn("confidence", F.round("confidence", 6))
 
 
+def _methods(spark, sf_dir):
+    """A user's events as the methods of a type, each calling the next."""
+    named = table(spark, sf_dir, "events").select(c("user_id").alias("grp"), F.concat_ws("_", "event_type", c("event_id") % 12).alias("method"), "ts", "event_id")
+    following = F.lead("method").over(Window.partitionBy("grp").orderBy("ts", "event_id"))
+    calls = named.select("grp", c("method").alias("a"), following.alias("b")).groupBy("grp", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    return named.select("grp", "method"), calls
+
+
+@register("method_communities")
+def method_communities(spark, sf_dir):
+    return M.method_clusters(*_methods(spark, sf_dir))
+
+
+@register("method_hybrid_clusters")
+def method_hybrid_clusters(spark, sf_dir):
+    return M.method_clusters(*_methods(spark, sf_dir), hybrid=True)
+
+
 @register("communities")
 def communities(spark, sf_dir):
     return G.communities(edges(spark, sf_dir))
