@@ -320,3 +320,37 @@ def test_method_clusters(spark):
         for x in lot:
             links[x].update({y: 1 for y in lot if y != x})
     assert M.hybrid_of(many, links) == [("a", many[:4]), ("a", many[4:8]), ("a", many[8:])]
+
+
+def test_blame(spark):
+    head = "0123456789012345678901234567890123456789 3 {} 1\nauthor A B\nauthor-mail <a@b>\nauthor-time 1700000000\nfilename f\n\t{}\n"
+    got = snapshots.blame_of(spark.createDataFrame([("f", head.format(1, "x = 1") + head.format(2, "author fake")), ("g", ""), ("h", None)], "path string, text string"))
+    assert [(r.path, r.line, r.author, r["at"].year) for r in got.orderBy("line").collect()] == [("f", 1, "A B", 2023), ("f", 2, "A B", 2023)]
+
+
+def test_resumed_stages(spark, tmp_path):
+    from tidemark.operators import context as X
+
+    runs = []
+
+    def stage(name):
+        def run(df):
+            runs.append(name)
+            if name == "b" and runs.count("b") == 1:
+                raise RuntimeError("lost")
+            return df.withColumn(name, F.lit(1))
+
+        return name, run
+
+    stages = [stage("a"), stage("b")]
+    with pytest.raises(RuntimeError):
+        X.resumable(spark.range(3), stages, str(tmp_path))
+    assert X.resumable(spark.range(3), stages, str(tmp_path)).columns == ["id", "a", "b"] and runs == ["a", "b", "b"]
+
+
+def test_parse_time_is_bounded(spark):
+    from tidemark.operators.code_facts import facts
+
+    slow = "x = 1\n" + "def f(a):\n    return [a, a, a]\n" * 20_000
+    got = facts(spark.createDataFrame([("slow.py", "Python", slow), ("ok.py", "Python", "def f():\n    return 1\n")], "path string, language string, text string").coalesce(1), seconds=0.05)
+    assert {(r.path, r.name) for r in got.where("kind = 'error'").collect()} == {("slow.py", "TimeoutError")} and got.where("path = 'ok.py'").count() > 0

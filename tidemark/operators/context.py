@@ -83,3 +83,15 @@ def all_errors(checks: list[tuple[str, bool]]) -> None:
     failed = [message for message, holds in checks if not holds]
     if failed:
         raise ValueError("; ".join(failed))
+
+
+def resumable(df: DataFrame, stages: list[tuple[str, Callable[[DataFrame], DataFrame]]], folder: str) -> DataFrame:
+    """The stages in order, each written below ``folder`` on any store; one that a former run finished is read in place of being run again."""
+    spark = df.sparkSession
+    for name, stage in stages:
+        path = f"{folder.rstrip('/')}/{name}"
+        done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+            stage(df).write.mode("overwrite").parquet(path)
+        df = spark.read.parquet(path)
+    return df

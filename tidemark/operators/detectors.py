@@ -14,7 +14,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.shipping import ship
@@ -55,6 +55,14 @@ def line_findings(sources: DataFrame, markers: tuple[tuple[str, str, str], ...]
     return lines.select("path", (F.col("at") + 1).alias("line"), F.explode(F.array_compact(F.array(*hits))).alias("hit")).select("path", "line", "hit.*")
 
 
+def natspec_debt(sources: DataFrame) -> DataFrame:
+    """(path, line, kind, priority): public and external Solidity functions whose line before is no doc comment; native."""
+    lines = sources.where("language = 'Solidity'").select("path", F.posexplode(F.split("text", "\n")).alias("at", "txt"))
+    before = F.lag(F.trim("txt")).over(Window.partitionBy("path").orderBy("at"))
+    bare = F.col("txt").rlike(r"^\s*function\s+\w+.*\b(public|external)\b") & ~F.coalesce(F.col("before").rlike(r"^(///|\*/|\*)"), F.lit(False))
+    return lines.withColumn("before", before).where(bare).select("path", (F.col("at") + 1).alias("line"), F.lit("missing_natspec").alias("kind"), F.lit("Low").alias("priority"))
+
+
 _BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.comprehension, ast.match_case)
 _NESTING = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.Try, ast.With, ast.AsyncWith, ast.Match)
 _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)

@@ -175,6 +175,13 @@ def adjusted_cyclomatic(spark, sf_dir):
     return O.adjusted_cyclomatic(D.python_functions(_modules(spark, sf_dir)).where("error is null"), found)
 
 
+@register("natspec_debt", "SELECT event_id::VARCHAR AS path, 2 AS line, 'missing_natspec' AS kind FROM events WHERE event_id % 3 = 0")
+def natspec_debt(spark, sf_dir):
+    contracts = F.array(F.lit("contract A {\n function f() public {}\n}"), F.lit("/// Pays.\nfunction g() external {}"), F.lit("function h() private {}"))
+    sources = table(spark, sf_dir, "events").select(c("event_id").cast("string").alias("path"), F.lit("Solidity").alias("language"), F.element_at(contracts, (c("event_id") % 3 + 1).cast("int")).alias("text"))
+    return D.natspec_debt(sources).drop("priority")
+
+
 @register("todo_markers", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS txt, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)
 SELECT doc_id::VARCHAR AS path, line, CASE WHEN regexp_matches(txt, '\\bFIXME\\b') THEN 'High' ELSE 'Medium' END AS priority FROM l WHERE regexp_matches(txt, '\\b(FIXME|HACK|TODO)\\b')""")
 def todo_markers(spark, sf_dir):

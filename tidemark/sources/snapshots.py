@@ -36,3 +36,11 @@ def commits_of_log(log: DataFrame, text: str = "value") -> DataFrame:
 def target_location(plan: Column) -> Column:
     """The location that a plan's text names after "**Location**:"; null if none."""
     return F.nullif(F.trim(F.regexp_extract(plan, r"(?m)^\s*\*\*Location\*\*:\s*(.+?)\s*$", 1)), F.lit(""))
+
+
+def blame_of(blames: DataFrame) -> DataFrame:
+    """(path, line, sha, author, at) from ``blames`` (path, text), each the line porcelain of one file's blame; native. Texts without blame give no row."""
+    blocks = blames.select("path", F.explode(F.split("text", r"\n\t[^\n]*(?:\n|\z)")).alias("block")).where(F.col("block").rlike(r"^[0-9a-f]{40} \d+ \d+"))
+    line, sha = F.regexp_extract("block", r"^[0-9a-f]{40} \d+ (\d+)", 1).cast("int"), F.substring("block", 1, 40)
+    at = F.timestamp_seconds(F.regexp_extract("block", r"(?m)^author-time (\d+)$", 1).cast("long"))
+    return blocks.select("path", line.alias("line"), sha.alias("sha"), F.regexp_extract("block", r"(?m)^author (.*)$", 1).alias("author"), at.alias("at"))
