@@ -103,6 +103,25 @@ def test_edits_and_likeness(spark):
     assert simhash.account(docs(spark, [(1, "one two")])).first().near_next == 1.0
 
 
+def test_near_documents_by_brute_force(spark):
+    """Counts and smallest ids of all documents within the radius, those of the same fingerprint included."""
+    base = [f"term{k}" for k in range(40)]
+    rows = [(i, " ".join([*base[: 40 - i % 3], *(["extra"] * (i % 2))])) for i in range(1, 120)] + [(i, f"other text number {i}") for i in range(200, 260)]
+    found = simhash.account(docs(spark, rows)).collect()
+    prints = {r.doc_id: int(r.fingerprint, 16) for r in found}
+    some = 0
+    for r in found:
+        if r.doc_id % 20:
+            assert r.near_documents is None and r.near_id is None
+            continue
+        near = [i for i, f in prints.items() if i != r.doc_id and bin(f ^ prints[r.doc_id]).count("1") <= simhash.RADIUS]
+        others = {prints[i] for i in near} - {prints[r.doc_id]}
+        ids = [min(i for i, f in prints.items() if f == x) for x in others | {prints[r.doc_id]}]
+        assert (r.near_documents, r.near_fingerprints) == (len(near), len(others)) and r.near_id == min((i for i in ids if i != r.doc_id), default=None)
+        some += bool(near)
+    assert some > 2
+
+
 def test_fingerprint_by_hand(spark):
     text = "The quick the FOX quick"
     terms = ["the", "quick", "fox"]

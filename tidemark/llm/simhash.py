@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.scratch import materialize, n_shuffle
 from tidemark.llm.text import lower_ascii, whole, words
+from tidemark.operators.hot import attach
 
 BITS = 64
 #: The search's radius, and the blocks that a fingerprint is cut into: tables have BLOCKS - RADIUS blocks as their key.
@@ -151,13 +152,16 @@ def beside_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def account(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", asks: Column | None = None) -> DataFrame:
-    """One row per document: (id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, near_fingerprints).
+    """One row per document: (id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, near_fingerprints, near_documents, near_id).
 
     The edited text is the text whose last floor(n_chars / 2) code points are
     replaced by the first as many (or all) of the next lower id's text, for the
     lowest id the highest's. near_fingerprints counts the other fingerprints of
-    the table within RADIUS bits, for rows that ``asks`` picks (ids divisible
-    by 20, if None); null for the others. Null texts are empty; empty texts
+    the table within RADIUS bits, near_documents the other documents that have
+    one of these or the row's own, and near_id is the smallest of their ids
+    (of those with the row's own, if the row itself is not the first), for
+    rows that ``asks`` picks (ids divisible by 20, if None); null for the
+    others. Ids are integers. Null texts are empty; empty texts
     have fingerprint 0. An empty table gives an empty result.
     """
     n, half = F.char_length("text"), F.floor(F.char_length("text") / 2).cast("int")
@@ -173,5 +177,10 @@ def account(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ask
     rows = materialize(wide.select(F.col("id").alias(id_col), "n_chars", "edited_sha256", "own", "edited", "next"), "fingerprints")
     asks = F.col(id_col) % 20 == 0 if asks is None else asks
     asked = rows.where(asks).select(F.col("own").alias("fingerprint"))
-    counts = within_radius(asked, rows.select(F.col("own").alias("fingerprint"))).groupBy(F.col("query").alias("own")).agg(F.count(F.lit(1)).alias("near"))
-    return rows.join(counts, "own", "left").select(id_col, "n_chars", "edited_sha256", as_hex(F.col("own")).alias("fingerprint"), as_hex(F.col("edited")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("edited")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"), F.when(asks, F.coalesce("near", F.lit(0))).alias("near_fingerprints"))
+    firsts = materialize(rows.groupBy("own").agg(F.min(id_col).alias("first"), F.count(F.lit(1)).alias("rows")), "firsts")
+    hits = within_radius(asked, firsts.select(F.col("own").alias("fingerprint"))).join(firsts.withColumnRenamed("own", "fingerprint"), "fingerprint")
+    counts = hits.groupBy(F.col("query").alias("own")).agg(F.count(F.lit(1)).alias("near"), F.sum("rows").alias("near_rows"), F.min("first").alias("near_first"))
+    told = attach(rows, firsts.join(counts, "own", "left"), "own", rows.count(), "rows")
+    near_documents = F.coalesce("near_rows", F.lit(0)) + F.col("rows") - 1
+    near_id = F.least(F.col("near_first"), F.when(F.col("first") != F.col(id_col), F.col("first")))
+    return told.select(id_col, "n_chars", "edited_sha256", as_hex(F.col("own")).alias("fingerprint"), as_hex(F.col("edited")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("edited")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"), F.when(asks, F.coalesce("near", F.lit(0))).alias("near_fingerprints"), F.when(asks, near_documents).alias("near_documents"), F.when(asks, near_id).alias("near_id"))
