@@ -354,3 +354,52 @@ def test_parse_time_is_bounded(spark):
     slow = "x = 1\n" + "def f(a):\n    return [a, a, a]\n" * 20_000
     got = facts(spark.createDataFrame([("slow.py", "Python", slow), ("ok.py", "Python", "def f():\n    return 1\n")], "path string, language string, text string").coalesce(1), seconds=0.05)
     assert {(r.path, r.name) for r in got.where("kind = 'error'").collect()} == {("slow.py", "TimeoutError")} and got.where("path = 'ok.py'").count() > 0
+
+
+def test_readers_of_other_languages():
+    from tidemark.operators import braces as B
+
+    (only,) = B.function_metrics("fn f() { let c = '{'; let s = r#\"}\"#; /* { */ let l: &'static str = \"}\"; if c == '}' { g::<u8>(); } }", "Rust")
+    assert (only["cyclomatic"], only["nesting"], only["calls"]) == (2, 1, [])
+    names = [r["name"] for r in B.function_metrics("const a = function () { return /[/\"]}/ }\nconst b = x => x ? 1 : 2\nclass K { get v() { return `}` } if(x) {} }\nf(() => 1)", "JavaScript")]
+    assert names[:3] == ["a", "b", "v"]
+    chain = "func f(a int) {\n" + " else ".join(f"if a == {i} {{ g() }}" for i in range(3000)) + "\n}"
+    assert B.function_metrics(chain, "Go")[0]["cyclomatic"] == 3001
+    flat = B.function_metrics(chain.replace("func f(a int)", "fn f(a: i32)"), "Rust")[0]
+    assert (flat["cyclomatic"], flat["cognitive"], flat["nesting"]) == (3001, 3000, 1)
+    for bad in ("fn f( {", "fn f() { \"abc }", "/* never", "}"):
+        with pytest.raises(ValueError):
+            B.function_metrics(bad, "Rust")
+    for language in B.RULES:
+        assert B.function_metrics("", language) == [] and B.facts_of("\n \n", language) == []
+
+
+def test_reader_time_is_linear():
+    import time
+
+    from tidemark.operators import braces as B
+
+    one = "#[inline]\npub fn f(a: i32) -> i32 { if a > 1 { g(a) } else { match a { 1 => h(|x| x), _ => 2 } } }\n"
+
+    def took(n):
+        began = time.perf_counter()
+        assert len(B.function_metrics(one * n, "Rust")) == n
+        return time.perf_counter() - began
+
+    took(100)
+    assert took(4000) < 12 * max(took(1000), 0.02)
+
+
+def test_readers_on_odd_tables(spark):
+    from tidemark.operators import parsers as P
+
+    rows = [("a.rs", "Rust", None, 1), ("b.go", "Go", "func f() {", 2), ("c.rs", "Rust", "fn f() {}", 3), ("c.rs", "Rust", "fn f() {}", 3), ("d.txt", "Text", "fn f() {}", 4), (None, "Python", "def g(): pass", 5), ("e.rs", None, "fn h() {}", 6), ("g.sol", "Solidity", "((((" * 5000 + "))))" * 5000, 7)]
+    sources = spark.createDataFrame(rows, "path string, language string, text string, name int")
+    found = P.functions(sources).collect()
+    assert sorted((str(r["path"]), r["name"]) for r in found if not r["error"]) == [("None", "g"), ("c.rs", "f"), ("c.rs", "f")]
+    assert {r["path"] for r in found if r["error"]} == {"b.go", "g.sol"}
+    assert {r["path"] for r in P.facts(sources).where("kind = 'error'").collect()} == {"b.go", "g.sol"}
+    empty = sources.limit(0)
+    assert P.functions(empty).count() == P.facts(empty).count() == P.error_prone(empty).count() == P.structural_patterns(P.functions(empty), P.facts(empty)).count() == 0
+    prone = P.error_prone(spark.createDataFrame([("x.rs", "Rust", 'a.expect("why").expect("failed")\nb.expect("error")\nlet x: Result<u8> = f();\n#[test]\npanic!("x")'), ("y.rs", "Rust", None)], "path string, language string, text string"))
+    assert sorted((r["line"], r["kind"], r["col"]) for r in prone.collect()) == [(2, "bare_expect", 2), (3, "ignored_result", 8)]

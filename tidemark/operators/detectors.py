@@ -92,10 +92,12 @@ def function_metrics(text: str) -> list[dict]:
         if not isinstance(node, _FUNCTIONS):
             continue
         cyclomatic, cognitive, deepest, swallowed, literals = 1, 0, 0, 0, Counter()
-        calls, impure, tokens = [], False, []
+        calls, impure, tokens, decided, statements = [], False, [], 0, 0
         for inner, depth in _inside(node):
             deepest = max(deepest, depth + isinstance(inner, _NESTING))
             tokens.append(type(inner).__name__)
+            statements += isinstance(inner, ast.stmt)
+            decided += isinstance(inner, (*_BRANCHES, ast.BoolOp))
             if isinstance(inner, _BRANCHES):
                 cyclomatic += 1
                 cognitive += 1 + depth
@@ -116,7 +118,7 @@ def function_metrics(text: str) -> list[dict]:
         entropy = -sum(c / n * math.log2(c / n) for c in counts.values()) / math.log2(n) if len(counts) > 1 else 0.0
         arguments = node.args.posonlyargs + node.args.args + node.args.kwonlyargs
         out.append({
-            "name": node.name, "line": node.lineno, "end_line": node.end_lineno, "length": node.end_lineno - node.lineno + 1, "cyclomatic": cyclomatic, "cognitive": cognitive, "nesting": deepest,
+            "name": node.name, "line": node.lineno, "end_line": node.end_lineno, "length": node.end_lineno - node.lineno + 1, "cyclomatic": cyclomatic, "cognitive": cognitive, "normalized": decided, "nesting": deepest, "statements": statements,
             "parameters": len(arguments), "is_test": node.name.startswith("test_"), "is_pure": not impure and not kinds, "io": kinds, "calls": sorted({c for c in calls if c}), "swallowed": swallowed, "magic": sum(1 for c in literals.values() if c > 1), "entropy": round(entropy, 6),
             "asserts": sum(1 for t in tokens if t == "Assert"), "documented": ast.get_docstring(node) is not None,
         })

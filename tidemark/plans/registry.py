@@ -29,7 +29,7 @@ def register(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from tidemark.plans import aggregate_queries, context_queries, filter_join_queries, graph_queries, relational_queries, score_queries, source_queries  # noqa: F401  they register themselves
+    from tidemark.plans import aggregate_queries, context_queries, filter_join_queries, graph_queries, parser_queries, relational_queries, score_queries, source_queries  # noqa: F401  they register themselves
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
