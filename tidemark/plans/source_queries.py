@@ -50,21 +50,6 @@ def lcov_totals(spark, sf_dir):
     return lcov.overall(records).crossJoin(F.broadcast(lcov.diagnosis(records))).select(F.round("percent", 6).alias("percent"), "files", "lines", "unhit")
 
 
-#: Snippets of code, since the driver's tables hold none; findings of lines are taken from all documents as well.
-SOURCES = [
-    ("a.py", "Python", "import os\n\ndef load(path, a, b, c, d, e):\n    try:\n        return open(path).read()\n    except OSError:\n        pass\n\ndef test_load():\n    load('x', 1, 2, 3, 4, 5)\n"),
-    ("b.py", "Python", "def broken(:\n"),
-    ("c.rs", "Rust", "fn main() {\n    let x = f().unwrap(); // TODO check\n    let _ = g();\n    todo!()\n}\n"),
-    ("d.ts", "TypeScript", "const x: any = y as Foo;\np.then(a).then(b).then(c);\n"),
-    ("e.go", "Go", "v, _ := f()\npanic(1)\n"),
-    ("f.sol", "Solidity", "require(tx.origin == owner);\naddr.call{value: 1}(\"\");\n"),
-]
-
-
-def _sources(spark):
-    return spark.createDataFrame(SOURCES, "path string, language string, text string")
-
-
 #: Every event stands for a Python file: one of these, by its id.
 MODULES = (
     "import os\n\nclass Order:\n    def __init__(self, store: Store, order_key: str):\n        self.store = store\n        self.order_key = order_key\n    def total(self, other):\n        a = other.price()\n        b = other.tax()\n        c = other.rate()\n        d = other.fee()\n        e = other.cost()\n        return a + b + c + d + e\n",
@@ -106,11 +91,6 @@ def line_findings(spark, sf_dir):
     return D.line_findings(documents).withColumn("line", c("line").cast("long"))
 
 
-@register("code_findings")
-def code_findings(spark, sf_dir):
-    return D.line_findings(_sources(spark))
-
-
 #: What the modules hold, told by hand.
 METRICS = {
     0: [("__init__", 4, 3, 1, 0, 0, 3), ("total", 7, 7, 1, 0, 0, 2)], 1: [("load", 1, 4, 2, 1, 0, 3), ("save", 6, 3, 1, 0, 0, 3)], 2: [("kind", 1, 10, 5, 8, 1, 1), ("rank", 12, 9, 4, 3, 1, 1)],
@@ -134,11 +114,6 @@ def python_functions(spark, sf_dir):
     return D.python_functions(_modules(spark, sf_dir)).where("error is null").select("path", "name", "line", "length", "cyclomatic", "cognitive", "nesting", "parameters")
 
 
-@register("metric_findings")
-def metric_findings(spark, sf_dir):
-    return D.metric_findings(D.python_functions(_modules(spark, sf_dir).unionByName(_sources(spark))))
-
-
 #: Besides, the two classes are scattered over all files that stand for their modules.
 _SCATTERED = " UNION ALL ".join(f"SELECT min(event_id::VARCHAR), '{name}', '', 'scattered_type', '{name}', count(*) FROM events WHERE {_MODULE_OF} = {m} HAVING count(*) > 1" for m, name in ((0, "Order"), (3, "Bus")))
 
