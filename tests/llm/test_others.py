@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -367,6 +368,46 @@ def test_scores_equal_the_formula(spark):
     assert (off < 1e-9).mean() > 0.1
 
 
+@pytest.mark.parametrize("share", [1e-6, 1.0])
+def test_scores_without_false_positives(spark, monkeypatch, share):
+    """With so many probes that the filter errs nowhere, every token's probability is the formula's, for known words and for rare ones."""
+    texts = [" ".join(f"w{(i * k * k) % 61}" for k in range(1, 3 + i % 40)) for i in range(300)]
+    monkeypatch.setattr(lm, "KNOWN_SHARE", share)
+    model, _ = lm.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert len(model.known) == (0 if share == 1.0 else model.distinct)
+    monkeypatch.setattr(lm, "PROBES", (40, 40))
+    each = [lm.tokens(t) for t in texts]
+    at, words = pd.factorize(np.concatenate(each))
+    first = np.append(0, np.cumsum([len(x) for x in each]))[:-1]
+    unit = model.unit(words, at, first)
+    pairs, counts = np.bincount(unit.of, minlength=len(unit.pairs)), np.bincount(at)
+    rare = unit.known < 0
+    own, n = lm.own_bits(words[rare]), counts[rare]
+    of_words, of_pairs = dict(lm._cut(own << lm._OWN, model.parts)), dict(lm._cut(unit.pairs, model.parts))
+    none = np.zeros(0, np.int64)
+    model.held = {}
+    for part in range(model.parts):
+        mine, whose = of_pairs.get(part, none), of_words.get(part, none)
+        model.held[part] = lm.Filter(np.frombuffer(lm._part(unit.pairs[mine], pairs[mine], own[whose], n[whose])[0], np.uint8), 1)
+    got = np.add.reduceat(model.log_probabilities(words, at, first), first)
+
+    def near(x):
+        return float(lm.count_of(lm.levels_of(np.array([x])))[0]) if x else 0.0
+
+    learned = [[*t.split(), None] for t in texts]
+    seen, joined = Counter(w for t in learned for w in t), Counter(p for t in learned for p in zip(["<s>", *t], t, strict=False))
+    follow, total = Counter(u for u, _ in joined), sum(len(t) for t in learned)
+
+    def p(u, w):
+        told = near if share == 1.0 else float
+        prior = (told(seen[w]) + lm.PRIOR) / (total + lm.PRIOR * (len(seen) + 1))
+        c, t = (len(texts), follow[u]) if u == "<s>" else (told(seen[u]), told(follow[u]))
+        return min(1.0, (near(joined[u, w]) + t * prior) / (c + t))
+
+    want = [sum(math.log10(p(u, w)) for u, w in zip(["<s>", *t], t, strict=False)) for t in learned]
+    assert np.allclose(got, want, rtol=0, atol=1e-9)
+
+
 # URL filter
 
 CASES = [
