@@ -378,7 +378,8 @@ def test_readers_of_other_languages():
     assert B.function_metrics(chain, "Go")[0]["cyclomatic"] == 3001
     flat = B.function_metrics(chain.replace("func f(a int)", "fn f(a: i32)"), "Rust")[0]
     assert (flat["cyclomatic"], flat["cognitive"], flat["nesting"]) == (3001, 3000, 1)
-    for bad in ("fn f( {", "fn f() { \"abc }", "/* never", "}"):
+    assert len(B.function_metrics("/* a /* b */ } */ fn f() {}", "Rust")) == 1
+    for bad in ("fn f( {", "fn f() { \"abc }", "/* never", "/* /* */ fn f() {}", "}"):
         with pytest.raises(ValueError):
             B.function_metrics(bad, "Rust")
     for language in B.RULES:
@@ -414,3 +415,20 @@ def test_readers_on_odd_tables(spark):
     assert P.functions(empty).count() == P.facts(empty).count() == P.error_prone(empty).count() == P.structural_patterns(P.functions(empty), P.facts(empty)).count() == 0
     prone = P.error_prone(spark.createDataFrame([("x.rs", "Rust", 'a.expect("why").expect("failed")\nb.expect("error")\nlet x: Result<u8> = f();\n#[test]\npanic!("x")'), ("y.rs", "Rust", None)], "path string, language string, text string"))
     assert sorted((r["line"], r["kind"], r["col"]) for r in prone.collect()) == [(2, "bare_expect", 2), (3, "ignored_result", 8)]
+
+
+def test_facts_of_other_languages():
+    from tidemark.operators import braces as B
+
+    def of(language, text, *kinds):
+        return [(r[1], r[2], r[3], r[4]) for r in sorted(B.facts_of(text, language), key=lambda r: (r[6], r[0], r[5])) if r[0] in kinds]
+
+    assert of("Go", "func (s *S) F(a, b int, c string, d ...[]int) { s.x = 1\n s.y.Get(s.z) }", "parameter", "field_write", "field_read", "call") == [
+        ("S", "F", "x", ""), ("S", "F", "a", "int"), ("S", "F", "b", "int"), ("S", "F", "c", "str"), ("S", "F", "d", "[]int"), ("S", "F", "Get", "self.y"), ("S", "F", "y", ""), ("S", "F", "z", "")]
+    assert of("Rust", "impl A { fn f(&mut self, id: &str, m: HashMap<u8, (i32, i32)>) -> &Self { self.g(self.n); self } }", "parameter", "call", "function") == [
+        ("A", "f", "g", "self"), ("A", "f", "self", "plain"), ("A", "f", "id", "str"), ("A", "f", "m", "HashMap<u8,(i32,i32)>")]
+    assert of("Solidity", "contract C { function f(uint256 n, string memory s) public { } }", "parameter") == [("C", "f", "n", "int"), ("C", "f", "s", "str")]
+    assert of("TypeScript", "const f = async (a?: boolean, b: string = 'x') => { switch (a) { case 1: { switch (b) { default: } } } }", "parameter", "match", "visibility") == [
+        ("", "f", "default", "inner"), ("", "f", "open", "top"), ("", "f", "a", "bool"), ("", "f", "b", "str"), ("", "f", "private", "")]
+    (arrow,) = B.function_metrics("const f = async (a) => { await g(a) }", "JavaScript")
+    assert arrow["is_async"] and arrow["cognitive"] == 1
