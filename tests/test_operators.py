@@ -81,6 +81,30 @@ def test_reaching_definitions(spark):
     assert rows(G.reaching_definitions(blocks, flow)) == [(2, "x", 10), (3, "x", 10), (3, "x", 20), (4, "x", 10), (4, "x", 20), (4, "y", 30)]
 
 
+def test_reaching_definitions_pass_as_bits(spark):
+    """Against brute force, with more than 64 definitions to a variable and several to a block; cycles; steps hold no row for each definition."""
+    import random
+
+    rng = random.Random(5)
+    own = sorted({(i, "xy"[rng.randrange(2)], rng.randrange(300)) for i in range(150)} | {(7, "x", -1), (7, "x", -2), (7, "y", -1)})
+    pairs = sorted({(rng.randrange(160), rng.randrange(160)) for _ in range(330)} | {(3, 3), (8, 9), (9, 8)})
+    into = {(b, v, d) for a, b in pairs for block, v, d in own if block == a}
+    while True:
+        more = into | {(b, v, d) for block, v, d in into for a, b in pairs if a == block and not any(o[:2] == (a, v) for o in own)}
+        if more == into:
+            break
+        into = more
+    written = []
+    step, G.step = G.step, lambda df: written.append(df.count()) or step(df)
+    try:
+        got = rows(G.reaching_definitions(spark.createDataFrame(own, "block long, variable string, definition long"), spark.createDataFrame(pairs, "a long, b long")))
+    finally:
+        G.step = step
+    assert got == sorted(into) and max(written) < len(got) / 4
+    none = G.reaching_definitions(spark.createDataFrame([], "block long, variable string, definition long"), spark.createDataFrame(pairs, "a long, b long"))
+    assert none.count() == 0
+
+
 def test_suffix_order(spark):
     q, p = spark.createDataFrame([("src/a.rs",), ("x/src/a.rs",)], "query string"), spark.createDataFrame([("src/a.rs",), ("y/src/a.rs",), ("./x/src\\a.rs",)], "path string")
     first = {r.query: (r.path, r.strategy) for r in J.suffix_match(q, p).collect()}
