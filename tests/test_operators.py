@@ -119,6 +119,19 @@ def test_nearest_prefers_the_lower_place(spark):
     assert [(r.id, r.name) for r in J.nearest_within(left, right, ["k"], "at", "p", 2, ["id"], ["name"]).orderBy("id").collect()] == [(1, "a"), (2, None)]
 
 
+def test_nearest_passes_once_over_places(spark):
+    """Against brute force; windows see each place of a key once and only look back."""
+    import random
+
+    rng = random.Random(4)
+    left = [(i, rng.choice("ab"), rng.randrange(40)) for i in range(400)] + [(400, "c", 1), (401, None, 1), (402, "a", None)]
+    right = [(rng.choice("abd"), rng.randrange(40), rng.randrange(1000)) for _ in range(25)] + [(None, 1, 5)]
+    want = {i: min((abs(p - at), p, n) for key, p, n in right if key == k)[2] for i, k, at in left if k in ("a", "b") and at is not None}
+    found = J.nearest(spark.createDataFrame(left, "id int, k string, at int"), spark.createDataFrame(right, "k string, p int, n int"), ["k"], ["id"], "at", "p", "n")
+    assert dict(rows(found)) == want
+    assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower()
+
+
 def test_suppression(spark):
     text = ["x", "// debt:ignore-start", "a", "b", "// debt:ignore-end", "c", "// debt:ignore-next-line", "d", "e // debt:ignore"]
     df = spark.createDataFrame([("f", i, t) for i, t in enumerate(text, 1)], "file string, line int, txt string")

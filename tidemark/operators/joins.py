@@ -53,21 +53,23 @@ def ladder(left: DataFrame, row: list[str], steps: list[tuple[str, DataFrame]])
 def nearest(left: DataFrame, right: DataFrame, on: list[str], row: list[str], left_at: str, right_at: str, answer: str) -> DataFrame:
     """(row..., found): of the right rows with equal ``on``, the answer of the one nearest by place; the lowest (place, answer) wins a tie.
 
-    One union and two windows over it: every row sees the right rows just
-    before and just after it, so no row meets all of its key's rows.
+    One union of both sides' distinct places and two windows over it, each in
+    one pass: every place sees the right one just before and just after it, and
+    left rows join their place's answer, so no row meets all of its key's rows.
     """
     packed = F.struct(F.col("__at").alias("place"), F.col("__answer").alias("answer"))
     b = right.select(*on, F.col(right_at).alias("__at"), F.col(answer).alias("__answer")).groupBy(*on, "__at").agg(F.min("__answer").alias("__answer"))
-    none = [F.lit(None).cast(left.schema[r].dataType).alias(f"__row_{r}") for r in row]
-    a = left.select(*on, F.col(left_at).alias("__at"), F.lit(1).alias("__side"), *(F.col(r).alias(f"__row_{r}") for r in row), F.lit(None).cast(b.select(packed).schema[0].dataType).alias("__hit"))
-    marks = a.unionByName(b.select(*on, "__at", F.lit(0).alias("__side"), *none, packed.alias("__hit")))
-    order = Window.partitionBy(*on).orderBy("__at", "__side")
-    before = F.last("__hit", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("__hit", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    seen = marks.withColumn("__before", before).withColumn("__after", after).where("__side = 1")
+    asked = left.select(*on, F.col(left_at).alias("__at"), *(F.col(r).alias(f"__row_{r}") for r in row))
+    a = asked.select(*on, "__at").distinct().select(*on, "__at", F.lit(1).alias("__side"), F.lit(None).cast(b.select(packed).schema[0].dataType).alias("__hit"))
+    marks = a.unionByName(b.select(*on, "__at", F.lit(0).alias("__side"), packed.alias("__hit")))
+
+    def last_hit(*order: Column) -> Column:
+        return F.last("__hit", ignorenulls=True).over(Window.partitionBy(*on).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+
+    seen = marks.withColumn("__before", last_hit(F.col("__at"), F.col("__side"))).withColumn("__after", last_hit(F.col("__at").desc(), F.col("__side").desc())).where("__side = 1")
     closer = F.col("__before").isNotNull() & (F.col("__after").isNull() | (F.col("__at") - F.col("__before.place") <= F.col("__after.place") - F.col("__at")))
-    found = seen.select(*(F.col(f"__row_{r}").alias(r) for r in row), F.when(closer, F.col("__before.answer")).otherwise(F.col("__after.answer")).alias("found"))
-    return found.where("found is not null")
+    found = seen.select(*on, "__at", F.when(closer, F.col("__before.answer")).otherwise(F.col("__after.answer")).alias("found")).where("found is not null")
+    return asked.join(found, [*on, "__at"]).select(*(F.col(f"__row_{r}").alias(r) for r in row), "found")
 
 
 def path_components(path: Column) -> Column:
