@@ -106,6 +106,26 @@ def test_reaching_definitions_pass_as_bits(spark):
     assert none.count() == 0
 
 
+def test_reaching_definitions_pass_in_workers(spark, monkeypatch):
+    """Steps that are written don't grow with the hops; by workers as by joins, with nulls, several definitions and blocks to one, loops, names for ids."""
+    import random
+
+    written = []
+    step = G.step
+    monkeypatch.setattr(G, "step", lambda df: written.append(1) or step(df))
+    chain = spark.range(40).selectExpr("id a", "id + 1 b")
+    assert rows(G.reaching_definitions(spark.createDataFrame([(0, "x", 7), (20, "x", 8)], "block long, variable string, definition long"), chain)) == sorted([(i, "x", 7) for i in range(1, 21)] + [(i, "x", 8) for i in range(21, 41)])
+    assert len(written) <= 2
+    rng = random.Random(9)
+    own = [(f"b{rng.randrange(150)}", "xyz"[rng.randrange(3)], rng.randrange(900) * 10**15 + 1) for _ in range(1500)] + [(None, "x", 5), ("b1", None, 6), ("b2", "x", None), ("b3", "x", 7), ("b4", "x", 7), ("b4", "y", 7)]
+    pairs = [(f"b{rng.randrange(160)}", f"b{rng.randrange(160)}") for _ in range(300)] + [("b3", None), (None, "b5"), ("b5", "b5")]
+    own, pairs = spark.createDataFrame(own, "block string, variable string, definition long").distinct(), spark.createDataFrame(pairs, "a string, b string").distinct()
+    by_workers, by_joins = G.definitions_by_bits(own, pairs), G._definitions_by_joins(own, pairs)
+    assert by_workers.dtypes == by_joins.dtypes == [("block", "string"), ("variable", "string"), ("definition", "bigint")]
+    ordered = [sorted(map(tuple, x.collect()), key=repr) for x in (by_workers, by_joins)]
+    assert ordered[0] == ordered[1] and len(ordered[0]) > 3000 and any(r[0] is None for r in ordered[0])
+
+
 def test_suffix_order(spark):
     q, p = spark.createDataFrame([("src/a.rs",), ("x/src/a.rs",)], "query string"), spark.createDataFrame([("src/a.rs",), ("y/src/a.rs",), ("./x/src\\a.rs",)], "path string")
     first = {r.query: (r.path, r.strategy) for r in J.suffix_match(q, p).collect()}
